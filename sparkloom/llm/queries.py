@@ -16,8 +16,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash,)}
+    return {f.__name__: f for f in (op5_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

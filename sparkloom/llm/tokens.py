@@ -1,8 +1,8 @@
 """Exact, cached encoding of whole texts with a public byte-level BPE file.
 
 A byte-level BPE of this family never merges across the boundary in front of a
-space that is followed by a non-space, so a text can be cut there and each cut
-encoded on its own.  Natural text repeats its cuts, hence a bounded cache of
+space or line end that is followed by a non-space, so a text can be cut there
+and each cut encoded on its own.  Natural text repeats its cuts, hence a bounded cache of
 ``cut -> id bytes`` per Python worker replaces most calls of the tokenizer.
 ``tests/llm/test_tokens.py`` compares the ids with plain ``Tokenizer.encode``.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-CACHE_CUTS = 600_000
+CACHE_CUTS = 1_000_000
 LONGEST_CACHED = 48
 BLOCK_CHARS = 4_000_000
 
@@ -56,13 +56,21 @@ class Encoder:
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of new cuts; ``word,`` and ``word.`` are a word and a mark, which
         the pattern always parts after a letter."""
-        cache = self._cache
-        bare = {p: p[:-1] for p in missing if p[-1] in ",." and p[-2:-1].isalpha() and p[-2] < "\u0250"}
-        names = [p for p in {bare.get(p, p) for p in missing} if p not in cache]
-        fresh = dict(zip(names, self._raw([" " + p for p in names]), strict=True))
+        cache, marks = self._cache, self._mark
+        names, ended = set(), []
+        for p in missing:
+            if p[-1] in marks and p[-2:-1].isalpha() and p[-2] < "\u0250":
+                word = p[:-1]
+                ended.append((p, word))
+                if word not in cache:
+                    names.add(word)
+            else:
+                names.add(p)
+        names = list(names)
+        fresh = dict(zip(names, self._raw([p if p[0] == "\n" else " " + p for p in names]), strict=True))
         cache.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_CACHED)
-        for p, word in bare.items():
-            fresh[p] = (fresh[word] if word in fresh else cache[word]) + self._mark[p[-1]]
+        for p, word in ended:
+            fresh[p] = (fresh[word] if word in fresh else cache[word]) + marks[p[-1]]
             if len(p) <= LONGEST_CACHED:
                 cache[p] = fresh[p]
         return fresh
@@ -86,7 +94,7 @@ class Encoder:
         cache = self._cache
         if len(cache) > self._limit:
             cache.clear()
-        split = [t.split(" ") for t in texts]
+        split = [_parts(t) for t in texts]
         firsts = self._raw([s[0] for s in split])
         seen: set[str] = set()
         for s in split:
@@ -105,26 +113,36 @@ class Encoder:
                 yield first + b"".join([cache[p] if p in cache else fresh[p] for p in rest])
 
     def _irregular(self, text: str) -> bytes:
-        """Texts with runs of white space: a cut that starts with white space
-        (or is empty) is joined to the one before it."""
-        first, *rest = text.split(" ")
+        """Texts with runs of white space: what starts with white space, or is
+        empty, belongs to the cut before it."""
+        first, *rest = _parts(text)
         cuts = [first]
         for p in rest:
-            if _starts_cut(p):
-                cuts.append(" " + p)
+            p = p if p[:1] == "\n" else " " + p
+            if _starts_cut(p.removeprefix(" ")):
+                cuts.append(p)
             else:
-                cuts[-1] += " " + p
+                cuts[-1] += p
         cache = self._cache
-        names = list({c for c in cuts[1:] if c[1:] not in cache})
+        keys = [c.removeprefix(" ") for c in cuts]
+        names = list({c for c, k in zip(cuts[1:], keys[1:], strict=True) if k not in cache})
         fresh = dict(zip(names, self._raw(names), strict=True))
         out = self._raw([cuts[0]])
-        out += [fresh[c] if c in fresh else cache[c[1:]] for c in cuts[1:]]
-        cache.update((c[1:], v) for c, v in fresh.items() if len(c) <= LONGEST_CACHED)
+        out += [fresh[c] if c in fresh else cache[k] for c, k in zip(cuts[1:], keys[1:], strict=True)]
+        cache.update((c.removeprefix(" "), v) for c, v in fresh.items() if len(c) <= LONGEST_CACHED)
         return b"".join(out)
 
 
+def _parts(text: str) -> list[str]:
+    """The text between single spaces, where a line end starts a part, too."""
+    return text.replace("\n", " \n").split(" ")
+
+
 _PUNCTUATION = frozenset(string.punctuation)
 
 
 def _starts_cut(part: str) -> bool:
-    return bool(part) and (part[0] in _PUNCTUATION or part[0].isalnum())
+    c = part[:1]
+    if c == "\n":
+        c = part[1:2]
+    return c in _PUNCTUATION or c.isalnum()
