@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.common import table
 
 
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.wavelet import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.simhash import near_duplicates
 
@@ -23,7 +29,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_wavelet, op5_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
