@@ -16,6 +16,12 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.toxicity import score_table
+
+    return score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.simhash import near_duplicates
 
@@ -35,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op5_simhash, op7_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_wavelet, op3_toxicity, op5_simhash, op7_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
