@@ -34,6 +34,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.htmlblocks import extract_table
+
+    return extract_table(table(spark, sf_dir, "pages"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.langid import predict_table
 
@@ -47,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_toxicity, op4_decontaminate, op5_simhash, op7_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_wavelet, op3_toxicity, op4_decontaminate, op5_simhash, op6_html, op7_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
