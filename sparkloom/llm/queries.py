@@ -16,6 +16,12 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.licenses import scan_table
+
+    return scan_table(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.toxicity import score_table
 
@@ -53,8 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_toxicity, op4_decontaminate, op5_simhash, op6_html, op7_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_toxicity, op4_decontaminate, op5_simhash, op6_html, op7_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sparkloom.llm.licenses import scan_sql
+
+    return {"op2_licenses": scan_sql()}
