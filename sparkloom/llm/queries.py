@@ -58,6 +58,12 @@ def op8_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ann import search_table
+
+    return search_table(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
 
@@ -65,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_toxicity, op4_decontaminate, op5_simhash, op6_html, op7_langid, op8_separators, op10_packing)}
+    return {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_toxicity, op4_decontaminate, op5_simhash, op6_html, op7_langid, op8_separators, op9_ann, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
