@@ -160,3 +160,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("component_least"))
     named = linked.join(smallest, "root", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"))
     return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least
+    id (null ids first), of repeated ids any one.  Columns are kept.
+
+    Rows are numbered and fingerprinted once, in a written table, so the rows
+    that stay are found by number and only they meet their texts again.
+    """
+    marked = docs.withColumns({"_fp": fingerprints(F.col(text_col)), "_row": F.monotonically_increasing_id()})
+    marked = staged(marked, "marked")
+    least = F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("least")
+    groups = staged(marked.groupBy(F.col("_fp").alias("fp")).agg(least), "groups")
+    roots = components(links(groups.select("fp"), distance))
+    linked = groups.join(roots, groups.fp == roots.vertex, "left")
+    alone = linked.where("root is null").select("least.row")
+    chosen = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("least")).select("least.row")
+    stay = alone.unionByName(chosen).select(F.col("row").alias("_row"))
+    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
