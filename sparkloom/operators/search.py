@@ -74,10 +74,10 @@ def _hits(clause: Clause, toks: Column) -> Column:
     if clause.kind == "fuzzy":
         return F.size(F.filter(toks, lambda t: (F.abs(F.length(t) - len(first)) <= clause.edits) & (F.levenshtein(t, F.lit(first)) <= clause.edits)))
     if clause.kind == "phrase":
-        n = len(clause.words)
-        phrase = F.array(*map(F.lit, clause.words))
-        starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1)))
-        return F.size(F.filter(starts, lambda i: F.slice(toks, i, n) == phrase))
+        # Marked ends keep words whole; a match of no width lets phrases overlap.
+        marked = F.concat(F.lit("\x01"), F.array_join(toks, "\x02\x01"), F.lit("\x02"))
+        wanted = "".join(f"\x01{re.escape(w)}\x02" for w in clause.words)
+        return F.regexp_count(marked, F.lit(f"(?={wanted})"))
     return F.size(F.filter(toks, lambda t: t == first))
 
 
