@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from sparkloom.llm.common import held_out
 SAMPLE_DOCS = {1: 1200, 0: 1800}
 SAMPLE_CHARS = 12_000
 WINDOW, STRIDE = 24, 12
-BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 15, 12, 8, 8
+BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 18, 10, 8, 8
+#: Features of fewer training documents stay without an embedding.
+LEAST_SEEN = 3
 GRAMS = (4, 5)
 _WORD = re.compile(r"\w+")
 _CACHED_WORDS = 250_000
@@ -41,12 +44,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> tuple[int, list[int]]:
-    """Bucket of the word and those of its n-grams (over UTF-8, marked ends)."""
+def features(word: str) -> tuple[int, array]:
+    """Bucket of the word and those of its n-grams (over UTF-8, marked ends);
+    a compact array, as training holds one for each different word."""
     raw = b"<%b>" % word[:64].encode("utf-8", "replace")
     mask, crc = BUCKETS - 1, zlib.crc32
     grams = [crc(raw[i : i + n]) & mask for n in GRAMS for i in range(len(raw) - n + 1)] or [crc(raw) & mask]
-    return crc(raw) & mask, grams
+    return crc(raw) & mask, array("I", grams)
 
 
 class Vocabulary:
@@ -55,7 +59,7 @@ class Vocabulary:
     def __init__(self):
         self.rows: dict[str, int] = {}
         self.word: list[int] = [0]
-        self.grams: list[list[int]] = [[0]]
+        self.grams: list[array] = [array("I", [0])]
 
     def encode(self, words: list[str]) -> np.ndarray:
         rows = self.rows
@@ -79,6 +83,12 @@ def window_starts(n: int) -> np.ndarray:
     return starts if starts[-1] == n - WINDOW else np.append(starts, n - WINDOW)
 
 
+def _summed(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(at, kind="stable")
+    rows, first = np.unique(at[order], return_index=True)
+    return rows, np.add.reduceat(d[order], first, axis=0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -94,8 +104,8 @@ class Network:
 
         h = HIDDEN
         self.p = {
-            "word": init(BUCKETS, WIDTH, scale=0.1),
-            "gram": init(BUCKETS, WIDTH, scale=0.1),
+            "word": np.zeros((BUCKETS, WIDTH), np.float32),
+            "gram": np.zeros((BUCKETS, WIDTH), np.float32),
             "in": init(WIDTH, 6 * h, scale=WIDTH**-0.5),
             "in_bias": np.zeros(6 * h, np.float32),
             "uf": init(h, 3 * h, scale=h**-0.5),
@@ -107,13 +117,13 @@ class Network:
         }
         self.calibration = (1.0, 0.0)
 
-    def inputs(self, word: list[int], grams: list[list[int]]) -> np.ndarray:
+    def inputs(self, word: list[int], grams: list[array]) -> np.ndarray:
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         flat = np.concatenate([np.asarray(x, np.int64) for x in grams]) if grams else np.zeros(0, np.int64)
         total = np.add.reduceat(self.p["gram"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        return self.p["word"][np.asarray(word)] + total / sizes[:, None].astype(np.float32)
+        return self.p["word"][np.asarray(word)] + total / np.sqrt(sizes[:, None]).astype(np.float32)
 
-    def project(self, word: list[int], grams: list[list[int]]) -> np.ndarray:
+    def project(self, word: list[int], grams: list[array]) -> np.ndarray:
         """Input of both units for each word; words repeat, so this is kept."""
         return self.inputs(word, grams) @ self.p["in"] + self.p["in_bias"]
 
@@ -195,11 +205,11 @@ class Network:
         np.add.at(per_word, at.ravel(), dx.reshape(-1, dx.shape[2]))
         g["in"] = base.T @ per_word
         dbase = per_word @ p["in"].T
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], np.asarray(word), dbase)
         sizes = np.array([len(x) for x in grams])
-        g["gram"] = np.zeros_like(p["gram"])
-        np.add.at(g["gram"], np.concatenate([np.asarray(x, np.int64) for x in grams]), np.repeat(dbase / sizes[:, None], sizes, axis=0).astype(np.float32))
+        flat = np.concatenate([np.asarray(x, np.int64) for x in grams])
+        # Of embeddings only the rows met: (rows, gradient).
+        g["word"] = _summed(np.asarray(word, np.int64), dbase)
+        g["gram"] = _summed(flat, np.repeat(dbase / np.sqrt(sizes[:, None]), sizes, axis=0).astype(np.float32))
         return g
 
     def logits(self, rows: np.ndarray, projected: np.ndarray) -> np.ndarray:
@@ -227,50 +237,70 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, e
     if not docs or y_docs.min() == y_docs.max():
         net.calibration = (0.0, 20.0 if len(y_docs) and y_docs[0] else -20.0)
         return net
-    # How telling a feature is: log odds of its document counts.
-    odds = np.zeros((2, 2 * BUCKETS))
-    own = [np.unique(np.concatenate([[vocab.word[r]] + [BUCKETS + g for g in vocab.grams[r]] for r in np.unique(w) if r])) for w, _ in docs]
-    for f, y in zip(own, y_docs, strict=True):
-        odds[y, f] += 1
-    n = np.bincount(y_docs, minlength=2)
-    telling = np.log((odds[1] + 0.5) / (n[1] + 1)) - np.log((odds[0] + 0.5) / (n[0] + 1))
-    telling[odds[1] < 3] = -9
-    seed_of = np.array([max(telling[vocab.word[r]], max((telling[BUCKETS + g] for g in vocab.grams[r]), default=-9)) for r in range(len(vocab.word))])
-    seed_of[0] = -9
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    telling, seen = _telling(docs, y_docs, vocab)
+    kinds = {"word": slice(0, BUCKETS), "gram": slice(BUCKETS, None)}
+    for kind, of in kinds.items():
+        # Embeddings begin with the log odds in one component, noise in the rest.
+        known = np.flatnonzero(seen[of] >= LEAST_SEEN)
+        net.p[kind][known] = rng.normal(0, 0.05, (len(known), WIDTH)).astype(np.float32)
+        net.p[kind][known, 0] = 0.3 * telling[of][known]
+    score_of = np.array([max(telling[vocab.word[r]], max((telling[BUCKETS + g] for g in vocab.grams[r]), default=0)) for r in range(len(vocab.word))])
+    score_of[0] = 0
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in kinds}
+    moments |= {k: np.full(BUCKETS, 1e-8, np.float32) for k in kinds}
     step = 0
     for turn in range(rounds):
         projected = None if turn == 0 else net.project(vocab.word, vocab.grams)
         rows, ys = [], []
         for w, y in docs:
-            s = seed_of[w].max(axis=1) if projected is None else net.logits(w, projected)
+            s = score_of[w].max(axis=1) if projected is None else net.logits(w, projected)
             top = np.argsort(-s, kind="stable")[: 2 if y else 3]
             if y:
-                top = top[s[top] >= min(s[top[0]], 0.0)]
+                top = top[s[top] >= min(s[top[0]], 0.5)]
             else:
                 top = np.unique(np.append(top, rng.integers(0, len(w), 3)))
             rows.append(w[top])
             ys.append(np.full(len(top), y, np.float32))
         rows, ys = np.concatenate(rows), np.concatenate(ys)
-        weight_one = np.flatnonzero(ys == 1)
-        extra = max(1, int((ys == 0).sum() / max(len(weight_one), 1) / 2))
-        order = np.concatenate([np.flatnonzero(ys == 0), *[weight_one] * extra])
-        for _ in range(epochs):
+        ones = np.flatnonzero(ys == 1)
+        extra = max(1, int((ys == 0).sum() / max(len(ones), 1) / 2))
+        order = np.concatenate([np.flatnonzero(ys == 0), *[ones] * extra])
+        for _ in range(epochs if len(order) > 6000 else 2 * epochs):
             rng.shuffle(order)
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
                 step += 1
+                pace = rate * 0.7**turn
                 for k, g in net.gradients(rows[part], ys[part], vocab).items():
+                    if k in kinds:
+                        at, d = g
+                        trained = seen[kinds[k]][at] >= LEAST_SEEN
+                        at, d = at[trained], d[trained]
+                        moments[k][at] += (d * d).mean(axis=1)
+                        net.p[k][at] -= pace * d / np.sqrt(moments[k][at])[:, None]
+                        continue
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    net.p[k] -= rate * 0.7**turn * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+                    net.p[k] -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
     projected = net.project(vocab.word, vocab.grams)
     best = np.array([net.logits(w, projected).max() for w, _ in docs])
     net.calibration = _calibrate(best, y_docs)
     return net
 
 
+def _telling(docs: list, y_docs: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature: log odds of its document counts, drawn to 0 where few
+    toxic documents have it (and never below 0), and its document count."""
+    counts = np.zeros((2, 2 * BUCKETS), np.float32)
+    for (w, _), y in zip(docs, y_docs, strict=True):
+        own = [np.append(np.asarray(vocab.grams[r], np.int64) + BUCKETS, vocab.word[r]) for r in np.unique(w) if r]
+        counts[y, np.unique(np.concatenate(own))] += 1
+    n = np.bincount(y_docs, minlength=2)
+    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    return np.maximum(odds, 0) * counts[1] / (counts[1] + 4), counts.sum(axis=0)
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through 0.5 between the classes: two
     thirds of the way from the high clean documents to the low toxic ones, as a
