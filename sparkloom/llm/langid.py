@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from sparkloom.llm.common import held_out
 
 SAMPLE_DOCS = 1500
-VOCABULARY = 150_000
+VOCABULARY = 80_000
 LONGEST = 5
 LEAST_SEEN = 2
 UNDETERMINED = "und"
@@ -130,22 +131,21 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = V
     share = spark.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in sorted(sizes.items())], "lang string, share double")
     drawn = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = drawn.select("lang", "text").mapInPandas(_count, _COUNTS).groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
-    units = counts.groupBy("kind", "unit").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     langs = sorted(sizes)
-    at = {k: i for i, k in enumerate(langs)}
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]
+    units = counts.groupBy("kind", "unit").agg(F.sum("n").alias("total"), *by_lang)
     index: dict[str, dict[str, int]] = {"w": {}, "g": {}}
-    tables = []
+    tables, offset = [], 0
     for kind in "wg":
-        kept = units.where((F.col("kind") == kind) & (F.col("total") >= LEAST_SEEN)).orderBy(F.desc("total"), "unit").limit(vocabulary).collect()
-        if not kept and kind == "w":
-            kept = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(vocabulary).collect()
-        n = np.zeros((len(kept), len(langs)))
-        offset = sum(map(len, tables))
-        for i, row in enumerate(kept):
-            index[kind][row["unit"]] = offset + i
-            for lang, c in row["by"].items():
-                n[i, at[lang]] = c
-        tables.append(np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(len(kept), 1))))
+        own = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(vocabulary).drop("kind").toArrow()
+        seen = np.asarray(own["total"]) >= LEAST_SEEN
+        if not seen.any():
+            seen[:] = True
+        own = own.filter(pa.array(seen))
+        n = np.stack([np.asarray(own[f"n{i}"], dtype=np.float64) for i in range(len(langs))], axis=1)
+        index[kind] = {u: offset + i for i, u in enumerate(own["unit"].to_pylist())}
+        offset += len(n)
+        tables.append(np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(len(n), 1))))
     return Model(langs, index["w"], index["g"], np.concatenate(tables))
 
 
