@@ -33,7 +33,7 @@ LEAST_SEEN = 2
 UNDETERMINED = "und"
 SMOOTHING = 0.1
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:

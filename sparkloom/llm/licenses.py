@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 UNIT_LINES = 14
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
-TRIGGER = "licen[sc]|copyright|spdx|permission is|permitted|redistribut|rights reserved|public domain"
+TRIGGER = "licen[sc]|copyright|spdx|permission (is|to)|permitted|redistribut|rights reserved|public domain"
 LICENCE_NAME = "^(licen[sc]e|copying|unlicense|notice)([-_.][a-z0-9._-]*)?$"
 
 TEMPLATES: list[tuple[str, str]] = [

@@ -36,7 +36,7 @@ BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 18, 10, 8, 8
 LEAST_SEEN = 3
 GRAMS = (4, 5)
 _WORD = re.compile(r"\w+")
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 120_000
 _BLOCK_WORDS = 150_000
 
 

@@ -61,9 +61,10 @@ class WaveletMatrix:
         for shift in range(depth - 1, -1, -1):
             ones = (row >> shift) & 1 == 1
             planes.append(np.packbits(ones, bitorder="little"))
-            below = row[~ones]
+            # Places, then take: several times as fast as indexing by a mask.
+            below = row.take(np.flatnonzero(~ones))
             zeros.append(len(below))
-            row = np.concatenate([below, row[ones]])
+            row = np.concatenate([below, row.take(np.flatnonzero(ones))])
         return cls(len(ids), alphabet, np.array(zeros, "<i8"), planes)
 
     def decode(self) -> np.ndarray:
@@ -72,8 +73,8 @@ class WaveletMatrix:
         for shift, (z, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1], strict=True)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
-            up[~ones] = row[:z]
-            up[ones] = row[z:] | row.dtype.type(1 << shift)
+            up.put(np.flatnonzero(~ones), row[:z])
+            up.put(np.flatnonzero(ones), row[z:] | row.dtype.type(1 << shift))
             row = up
         return self.alphabet[row] if self.n else np.zeros(0, "<u4")
 

@@ -75,7 +75,7 @@ def leiden(nodes: DataFrame, links: DataFrame, seed: int = 42, limit: int = LOCA
             member = leiden_local(sorted(set(pdf["src"])), list(zip(pairs["src"], pairs["dst"], strict=True)), seed)
             return pd.DataFrame({"id": list(member), "community": [str(c) for c in member.values()]})
 
-        found = rows.groupBy(F.lit(0)).applyInPandas(run, "id string, community string")
+        found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id string, community string")
     firsts = found.groupBy("community").agg(F.min("id").alias("first"), F.count("*").alias("size"))
     numbered = firsts.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
     return found.join(numbered, "community").select("id", F.col("number").cast("long").alias("community"))
