@@ -196,7 +196,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
 
 
 #: Documents as files: a folder a source, shelves of 100 ids, one file a document.
-DOCUMENT_PATH = "concat(coalesce(source, 'unknown'), '/', cast(floor(doc_id / 100) as bigint), '/', cast(doc_id as string), '.txt')"
+#: ``||`` is null for a null id in Spark and DuckDB alike; ``concat`` is not.
+DOCUMENT_PATH = "coalesce(source, 'unknown') || '/' || cast(cast(floor(doc_id / 100) as bigint) as string) || '/' || cast(doc_id as string) || '.txt'"
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
