@@ -64,9 +64,10 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE_TOKENS)
     """(count, lengths) patterns that place every length of the histogram.
 
     Lengths go longest first into the open pattern with most room, if they fit,
-    else into new packs.  Placing n of a length into a pattern of c packs splits
-    off min(n, c) of them, so the work depends on the number of different
-    lengths and not on their counts.
+    else into new packs, which take more of the same length while it fits (a
+    new pack has most room then).  Placing n of a length into a pattern of c
+    packs splits off min(n, c) of them, so the work depends on the number of
+    different lengths and not on their counts.
     """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
@@ -76,7 +77,11 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE_TOKENS)
         while left:
             room = max((r for r, packs in open_packs.items() if packs), default=-1)
             if room < length:
-                open_packs[size - length].append((left, (length,)))
+                # New packs, each with as many of this length as it holds.
+                fit = size // length
+                for packs, pieces in ((left // fit, fit), (1, left % fit)):
+                    if packs and pieces:
+                        open_packs[size - pieces * length].append((packs, (length,) * pieces))
                 break
             count, lengths = open_packs[room].pop()
             taken = min(count, left)
