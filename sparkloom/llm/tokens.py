@@ -48,6 +48,8 @@ class Encoder:
         self._limit = cuts
         self._cache: dict[str, bytes] = {}
         self._mark = {m: self._raw([m])[0] for m in ",."}
+        #: Special tokens are found before any cut, so texts that spell one aren't cut.
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -104,6 +106,9 @@ class Encoder:
         odd = {p for p in missing if not _starts_cut(p)}
         fresh = self._learn([p for p in missing if p not in odd])
         for first, rest, text in zip(firsts, split, texts, strict=True):
+            if any(t in text for t in self._special):
+                yield self._raw([text])[0]
+                continue
             if odd and not odd.isdisjoint(rest):
                 yield self._irregular(text)
                 continue
