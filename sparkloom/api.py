@@ -217,10 +217,12 @@ class CodeGraph:
             "cross": overview.cross_community(clustered, self.imports()).limit(15),
             "routes": overview.routes(self.nodes),
             "entries": entries.select("id", relative_path(F.col("path"), self.root).alias("path")).orderBy("path").limit(20),
+            "test_frameworks": overview.test_frameworks(files),
             "tests": overview.tests(files),
             "glossary": overview.glossary(symbols, self.calls(), glossary) if glossary else overview.glossary(symbols, self.calls(), 1).limit(0),
             "externals": overview.external_deps(clustered, outside),
             "coverage": overview.coverage(files),
+            "orphans": overview.orphans(files).orderBy("path"),
         }
 
     def query(self, sql: str, limit: int = 50, args: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,27 @@ def extract(scan: DataFrame, now: str) -> Raw:
     return Raw(scan.select("path", "language", "hash", F.lit(now).alias("last_indexed")), nodes, edges, imports, marks)
 
 
+def changes(stored: Raw, scan: DataFrame) -> DataFrame:
+    """(path, change_type) between what is stored and a scan, by hashes."""
+    return incremental.hash_delta(stored.files.select("path", "hash"), scan.select("path", "hash"))
+
+
+def replaced(stored: Raw, delta: DataFrame, scan: DataFrame, now: str) -> Raw:
+    """Stored raw rows with those of changed files extracted again and those of
+    deleted files gone."""
+    fresh = extract(scan.join(delta.where("change_type <> 'deleted'").select("path"), "path", "left_semi"), now)
+    gone = delta.select("path")
+    of = gone.select(F.concat(F.lit("file:"), "path").alias("file"))
+    kept = Raw(
+        stored.files.join(gone, "path", "left_anti"),
+        stored.nodes.join(gone, "path", "left_anti").select(*NODE.names),
+        stored.edges.withColumn("file", F.substring_index("src", "#", 1)).join(of, "file", "left_anti").select(*EDGE.names),
+        stored.imports.join(of.withColumnRenamed("file", "src"), "src", "left_anti"),
+        stored.marks.join(of, "file", "left_anti"),
+    )
+    return Raw(*[a.unionByName(b) for a, b in zip(kept.tables().values(), fresh.tables().values(), strict=True)])
+
+
 def _ordered(df: DataFrame, file: F.Column, order: DataFrame) -> DataFrame:
     """seq from the walk order of the row's file and its place in the file."""
     joined = df.withColumn("_path", file).join(order.select(F.col("path").alias("_path"), F.col("seq").alias("_walk")), "_path")
@@ -175,7 +196,7 @@ def update(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...]
     scan = source.scan(spark, root, ignore)
     stored = Raw(*[store.read(t) for t in RAW])
     # Hashes decide in either mode: git alone can't tell an edit from its undoing.
-    delta = incremental.hash_delta(stored.files.select("path", "hash"), scan.select("path", "hash"))
+    delta = changes(stored, scan)
     if by_git:
         said = source.git_delta(spark, root, since)
         early = incremental.indexable(said, scan)
@@ -186,17 +207,7 @@ def update(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...]
         n, any_change = touched.count(), not delta.isEmpty()
         if not any_change:
             return "current", 0
-        fresh = extract(scan.join(touched, "path", "left_semi"), now)
-        gone = delta.select("path")
-        of = gone.select(F.concat(F.lit("file:"), "path").alias("file"))
-        kept = Raw(
-            stored.files.join(gone, "path", "left_anti"),
-            stored.nodes.join(gone, "path", "left_anti").select(*NODE.names),
-            stored.edges.withColumn("file", F.substring_index("src", "#", 1)).join(of, "file", "left_anti").select(*EDGE.names),
-            stored.imports.join(of.withColumnRenamed("file", "src"), "src", "left_anti"),
-            stored.marks.join(of, "file", "left_anti"),
-        )
-        joined = Raw(*[a.unionByName(b) for a, b in zip(kept.tables().values(), fresh.tables().values(), strict=True)])
+        joined = replaced(stored, delta, scan, now)
         dirty = by_git and not source.is_clean(root)
         _write(spark, root, store, joined, ignore, meta["source_url"], "dirty" if dirty else "git" if by_git else "hash", now)
     finally:

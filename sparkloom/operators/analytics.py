@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import label_segments
+from sparkloom.operators.graph import numbered
 from sparkloom.sources.shared import staged
 
 #: Above this many edges Leiden gives way to distributed label propagation.
@@ -77,8 +78,7 @@ def leiden(nodes: DataFrame, links: DataFrame, seed: int = 42, limit: int = LOCA
 
         found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id string, community string")
     firsts = found.groupBy("community").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    numbered = firsts.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
-    return found.join(numbered, "community").select("id", F.col("number").cast("long").alias("community"))
+    return found.join(numbered(firsts, F.desc("size"), F.col("first")), "community").select("id", F.col("number").alias("community"))
 
 
 def leiden_local(ids: list[str], links: list[tuple[str, str]], seed: int = 42, rounds: int = 10) -> dict[str, int]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import staged
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: the first in order.  A grouped minimum of a struct, so it
@@ -16,6 +18,18 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return least.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """Rows with their place, from 0, in an order.  They are dealt by ranges and
+    sorted there; a prefix sum over the sizes of the parts, one number a part,
+    gives each part its first place, so no task sees all rows."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = staged(dealt, "numbered").withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    # As many rows as the range partitioning has parts.
+    return rows.join(F.broadcast(base), "_part").select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
+
+
 def dedupe_nodes(nodes: DataFrame) -> DataFrame:
     """The first write of an id wins; ``seq`` orders writes."""
     return first_by(nodes, ["id"], ["seq"])

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STALE_DAYS = 7
 
 
+def first_paths(files: DataFrame, k: int, name: str, *order: Column) -> DataFrame:
+    """(community, the first k paths in an order).  The rank is limited before
+    the shuffle, so a large community sends k rows a task and is never gathered."""
+    place = F.row_number().over(Window.partitionBy("community").orderBy(*order))
+    few = files.select("community", "path", place.alias("place")).where(F.col("place") <= k)
+    return few.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("few")).select("community", F.col("few.path").alias(name))
+
+
 def overview_communities(files: DataFrame, top: int = 12, spine: int = 6, sample: int = 3) -> DataFrame:
     """The largest communities: size, most central spine paths, sample paths."""
-    core = F.filter(F.array_sort(F.collect_list(F.when(F.col("is_core"), F.struct((-F.col("pagerank")).alias("r"), "path")))), lambda x: x.isNotNull())
-    sizes = files.groupBy("community").agg(F.count("*").alias("size"), core.alias("core"), F.array_sort(F.collect_list("path")).alias("paths"))
-    cut = sizes.orderBy(F.desc("size"), "community").limit(top)
-    return cut.select("community", "size", F.transform(F.slice("core", 1, spine), lambda x: x["path"]).alias("spine"), F.slice("paths", 1, sample).alias("sample"))
+    sizes = files.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(top)
+    core = first_paths(files.where("is_core"), spine, "spine", F.desc("pagerank"), F.col("path"))
+    some = first_paths(files, sample, "sample", F.col("path"))
+    none = F.array().cast("array<string>")
+    joined = sizes.join(core, "community", "left").join(some, "community", "left")
+    return joined.select("community", "size", F.coalesce("spine", none).alias("spine"), F.coalesce("sample", none).alias("sample")).orderBy(F.desc("size"), "community")
 
 
 def communities_with_spine(files: DataFrame) -> DataFrame:
@@ -50,9 +60,13 @@ def external_deps(members: DataFrame, unresolved: DataFrame) -> DataFrame:
 
 
 def coverage(files: DataFrame) -> DataFrame:
-    """total, clustered and the paths of orphans."""
-    orphan = F.when(F.col("community").isNull(), F.col("path"))
-    return files.agg(F.count("*").alias("total"), F.count("community").alias("clustered"), F.array_sort(F.collect_list(orphan)).alias("orphans"))
+    """One row: total, clustered and how many orphans."""
+    return files.agg(F.count("*").alias("total"), F.count("community").alias("clustered"), F.count_if(F.col("community").isNull()).alias("orphans"))
+
+
+def orphans(files: DataFrame) -> DataFrame:
+    """Files without a community; rows, as there may be many."""
+    return files.where("community is null").select("id", "path")
 
 
 def routes(nodes: DataFrame) -> DataFrame:
@@ -60,7 +74,12 @@ def routes(nodes: DataFrame) -> DataFrame:
 
 
 def tests(files: DataFrame) -> DataFrame:
-    return files.where("is_test").groupBy("test_framework").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """Test files with their framework; one row a file."""
+    return files.where("is_test").select("test_framework", "path").orderBy("test_framework", "path")
+
+
+def test_frameworks(files: DataFrame) -> DataFrame:
+    return files.where("is_test").groupBy("test_framework").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "test_framework")
 
 
 def spine_drift(snapshots: DataFrame, current: DataFrame) -> DataFrame:

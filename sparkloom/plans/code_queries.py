@@ -1,3 +1,210 @@
-"""Queries that no SQL expresses."""
+"""Queries over source code, embeddings, communities and streams.
 
-QUERIES = {}
+Each part stands for one source file whose text follows from its key, so SQL can
+say what extraction must find in every one of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom import index
+from sparkloom.operators import analytics, embed, extract
+from sparkloom.plans.views import edges, parts, read
+from sparkloom.sources.shared import new_place
+from sparkloom.streaming import feed
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+TS = """import { f{n} } from "./m{n}";
+export function f{k}(x: number): number { return f{n}(x); }
+export class C{k} extends C{n} {
+  run{k}(): number { return f{k}(1); }
+}
+"""
+JS = """const app = express();
+app.get("/r/{k}",
+  (req, res) => g{k}(req));
+export const g{k} = (x) => h{n}(x);
+"""
+JAVA = """package p;
+import a.b.C{n};
+public class C{k} extends C{n} implements I{k} {
+  private int size = 1;
+  public int run{k}(int x) { return help{n}(x); }
+}
+"""
+#: What each text holds, by hand: (what, id or source, kind, name or target).
+FOUND = {
+    "ts": [
+        ("node", "file:{p}#fn:f{k}@1", "Function", "f{k}"),
+        ("node", "file:{p}#class:C{k}", "Class", "C{k}"),
+        ("node", "file:{p}#class:C{k}.method:run{k}@3", "Method", "run{k}"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#fn:f{k}@1"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#class:C{k}"),
+        ("edge", "file:{p}", "EXPORTS", "file:{p}#fn:f{k}@1"),
+        ("edge", "file:{p}", "EXPORTS", "file:{p}#class:C{k}"),
+        ("edge", "file:{p}#class:C{k}", "HAS_METHOD", "file:{p}#class:C{k}.method:run{k}@3"),
+        ("edge", "file:{p}#class:C{k}", "EXTENDS", "unresolved:class:C{n}"),
+        ("edge", "file:{p}#fn:f{k}@1", "CALLS", "unresolved:callable:f{n}"),
+        ("edge", "file:{p}#class:C{k}.method:run{k}@3", "CALLS", "unresolved:callable:f{k}"),
+        ("import", "file:{p}", "IMPORTS", "./m{n}"),
+    ],
+    "js": [
+        ("node", "file:{p}#var:app", "Variable", "app"),
+        ("node", "file:{p}#handler:app.get@2:2", "Function", '<app.get:"/r/{k}">'),
+        ("node", "file:{p}#fn:g{k}@3", "Function", "g{k}"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#var:app"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#handler:app.get@2:2"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#fn:g{k}@3"),
+        ("edge", "file:{p}", "EXPORTS", "file:{p}#fn:g{k}@3"),
+        ("edge", "file:{p}#handler:app.get@2:2", "CALLS", "unresolved:callable:g{k}"),
+        ("edge", "file:{p}#fn:g{k}@3", "CALLS", "unresolved:callable:h{n}"),
+    ],
+    "java": [
+        ("node", "file:{p}#class:C{k}", "Class", "C{k}"),
+        ("node", "file:{p}#class:C{k}.prop:size", "Property", "size"),
+        ("node", "file:{p}#class:C{k}.method:run{k}@4", "Method", "run{k}"),
+        ("edge", "file:{p}", "DEFINES", "file:{p}#class:C{k}"),
+        ("edge", "file:{p}#class:C{k}", "EXTENDS", "unresolved:class:C{n}"),
+        ("edge", "file:{p}#class:C{k}", "IMPLEMENTS", "unresolved:interface:I{k}"),
+        ("edge", "file:{p}#class:C{k}", "HAS_PROPERTY", "file:{p}#class:C{k}.prop:size"),
+        ("edge", "file:{p}#class:C{k}", "HAS_METHOD", "file:{p}#class:C{k}.method:run{k}@4"),
+        ("edge", "file:{p}#class:C{k}.method:run{k}@4", "CALLS", "unresolved:callable:help{n}"),
+        ("import", "file:{p}", "IMPORTS", "a.b.C{n}"),
+    ],
+}
+_SOURCES = {"ts": ("typescript", TS), "js": ("javascript", JS), "java": ("java", JAVA)}
+
+
+def filled(template: str, k: Column) -> Column:
+    """The template with its key and the next one."""
+    return F.replace(F.replace(F.lit(template), F.lit("{k}"), k.cast("string")), F.lit("{n}"), (k + 1).cast("string"))
+
+
+def sources(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    """One source file (path, language, content, seq, hash) a part."""
+    language, template = _SOURCES[ending]
+    k, content = F.col("p_partkey"), filled(template, F.col("p_partkey"))
+    return read(spark, sf_dir, "part").select(filled("/repo/m{k}." + ending, k).alias("path"), F.lit(language).alias("language"), content.alias("content"), k.alias("seq"), F.sha2(content, 256).alias("hash"))
+
+
+def _found_sql(ending: str) -> str:
+    def text(template: str) -> str:
+        full = template.replace("{p}", "/repo/m{k}." + ending).replace("'", "''")
+        return f"replace(replace('{full}', '{{k}}', p_partkey::varchar), '{{n}}', (p_partkey + 1)::varchar)"
+
+    return " UNION ALL ".join(f"SELECT '{what}' AS what, {text(a)} AS item, '{kind}' AS kind, {text(b)} AS detail FROM part" for what, a, kind, b in FOUND[ending])
+
+
+def _extracted(ending: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = extract.extract_symbols(sources(spark, sf_dir, ending)).where("what in ('node', 'edge', 'import')")
+        node, edge = F.col("what") == "node", F.col("what") == "edge"
+        return rows.select(
+            "what",
+            F.when(node, F.col("node.id")).when(edge, F.col("edge.src")).otherwise(F.col("file")).alias("item"),
+            F.when(node, F.col("node.kind")).when(edge, F.col("edge.kind")).otherwise("IMPORTS").alias("kind"),
+            F.when(node, F.col("node.name")).when(edge, F.col("edge.dst")).otherwise(F.col("spec")).alias("detail"),
+        )
+
+    return run
+
+
+for _ending in _SOURCES:
+    QUERIES[f"extract_{_ending}"] = _extracted(_ending)
+    ORACLES[f"extract_{_ending}"] = _found_sql(_ending)
+
+
+def _resolved_sql(held: str = "true") -> str:
+    """Edges between files m1, m2, ... of which those where ``held`` are there."""
+    return f"""WITH f AS (SELECT p_partkey AS k, 'file:/repo/m' || p_partkey || '.ts' AS id FROM part WHERE {held}),
+pair AS (SELECT a.k, a.id, b.id AS next FROM f a LEFT JOIN f b ON b.k = a.k + 1)
+SELECT 'IMPORTS' AS kind, id AS src, coalesce(next, 'unresolved:module:./m' || (k + 1)) AS dst FROM pair
+UNION ALL SELECT 'CALLS', id || '#fn:f' || k || '@1', coalesce(next || '#fn:f' || (k + 1) || '@1', 'unresolved:callable:f' || (k + 1)) FROM pair
+UNION ALL SELECT 'CALLS', id || '#class:C' || k || '.method:run' || k || '@3', id || '#fn:f' || k || '@1' FROM pair
+UNION ALL SELECT 'EXTENDS', id || '#class:C' || k, coalesce(next || '#class:C' || (k + 1), 'unresolved:class:C' || (k + 1)) FROM pair"""
+
+
+def _links(raw: index.Raw) -> DataFrame:
+    _, links = index.resolve(raw, raw.files.select("path", F.regexp_extract("path", r"m(\d+)", 1).cast("long").alias("seq")))
+    return links.where("kind in ('IMPORTS', 'CALLS', 'EXTENDS')").select("kind", "src", "dst")
+
+
+def source_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction and resolution of all files."""
+    return _links(index.extract(sources(spark, sf_dir, "ts"), "now"))
+
+
+def incremental_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph kept current: a tenth of the files is deleted, a tenth added and a
+    tenth edited, and only what changed is extracted again."""
+    now = sources(spark, sf_dir, "ts").where("seq % 10 <> 1")
+    last = F.col("seq") % 10
+    was = sources(spark, sf_dir, "ts").where(last != 2).withColumn("content", F.when(last == 3, F.lit("export const old = 1;\n")).otherwise(F.col("content")))
+    was = was.withColumn("hash", F.sha2("content", 256))
+    stored = index.extract(was, "before")
+    return _links(index.replaced(stored, index.changes(stored, now), now, "now"))
+
+
+QUERIES["source_graph"], ORACLES["source_graph"] = source_graph, _resolved_sql()
+QUERIES["incremental_graph"], ORACLES["incremental_graph"] = incremental_graph, _resolved_sql("p_partkey % 10 <> 1")
+
+
+def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the derived graph; tests check planted partitions."""
+    p = parts(spark, sf_dir)
+    return analytics.leiden(p.select("id"), analytics.undirected(edges(spark, sf_dir), p))
+
+
+QUERIES["leiden"] = leiden
+
+
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", embed.embed_text(F.col("lang"), F.col("text")).alias("text"))
+
+
+QUERIES["embed_text"], ORACLES["embed_text"] = embed_text, "SELECT doc_id, concat_ws(chr(10), lang, substring(text, 1, 1500)) AS text FROM documents"
+
+
+def embed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return embed.embed(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), F.col("text").alias("body")))
+
+
+QUERIES["embed_vectors"] = embed_vectors
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    known = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(known).option("maxFilesPerTrigger", 1).option("basePath", sf_dir).parquet(f"{sf_dir}/events.parquet")
+
+
+def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as file changes: the latest a path, micro-batch by micro-batch."""
+    changes = _stream(spark, sf_dir).select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("props").alias("content"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"))
+    place = new_place(spark, "stream-delta")
+    feed.follow(changes, lambda df, number: df.write.mode("overwrite").parquet(f"{place}/batch={number}"), f"{place}-state").awaitTermination()
+    found = spark.read.schema("path string, content string, op string, ts timestamp").parquet(place)
+    return feed.latest_changes(found).select("path", "content", "op")
+
+
+QUERIES["stream_delta"] = stream_delta
+ORACLES["stream_delta"] = "SELECT path, content, op FROM (SELECT 'f' || user_id AS path, props AS content, event_type AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, props DESC) AS rn FROM events) WHERE rn = 1"
+
+
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by type, kept by a windowed streaming aggregate."""
+    place = new_place(spark, "stream-counts")
+    counted = feed.event_counts(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    started = counted.writeStream.outputMode("complete").foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{place}/v{number}")).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start()
+    started.awaitTermination()
+    last = started.lastProgress["batchId"]
+    return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{place}/v{last}")
+
+
+QUERIES["stream_event_counts"] = stream_event_counts
+ORACLES["stream_event_counts"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"

@@ -41,7 +41,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    from sparkloom.plans import code_queries
+
+    return {**_ORACLES, **code_queries.ORACLES}
 
 
 # Scans and filters
@@ -168,6 +170,25 @@ def dedupe_edges(spark, d):
     return graph.dedupe_edges(rows)
 
 
+_REKEYED = "links AS (SELECT l_orderkey AS src, CASE WHEN l_partkey % 3 = 0 THEN 3 ELSE l_partkey END AS dst, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'p' || l_partkey END AS unresolved, min(l_linenumber) AS seq FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {_REKEYED} SELECT src, dst, 'CALLS' AS kind, unresolved, seq FROM links", graph=False)
+def rekey_edges(spark, d):
+    """Edges to parts divisible by three move to part 3 and meet there."""
+    line = read(spark, d, "lineitem")
+    rows = line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("CALLS").alias("kind"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("unresolved"), F.col("l_linenumber").alias("seq"))
+    moves = rows.where("dst % 3 = 0").select("src", "dst", "kind", F.lit(3).cast("long").alias("new_dst")).distinct()
+    return graph.rekey_edges(rows, moves)
+
+
+@query("SELECT src, dst FROM (SELECT src, 'x' AS dst, symbol AS unresolved FROM hrefs UNION ALL SELECT src, dst, NULL FROM edges) WHERE unresolved IS NULL")
+def skip_unresolved(spark, d):
+    links = v.hrefs(spark, d).select("src", F.lit("x").alias("dst"), F.col("symbol").alias("unresolved"))
+    known = v.edges(spark, d).withColumn("unresolved", F.lit(None).cast("string"))
+    return graph.without_unresolved(links.unionByName(known)).select("src", "dst")
+
+
 @query("SELECT 'unresolved:module:' || symbol AS id, symbol AS name FROM hrefs WHERE symbol NOT IN (SELECT url FROM pages) GROUP BY symbol")
 def unresolved_placeholders(spark, d):
     links = v.hrefs(spark, d).select("src", F.concat(F.lit("unresolved:module:"), "symbol").alias("dst"), F.col("symbol").alias("unresolved"))
@@ -526,10 +547,19 @@ def external_deps(spark, d):
     return overview.external_deps(hosts, v.hrefs(spark, d))
 
 
-@query("SELECT count(*) AS total, count(CASE WHEN NOT is_test THEN 1 END) AS clustered, array_to_string(list_sort(list(path) FILTER (is_test)), '|') AS orphans FROM parts")
+def _covered(spark, d):
+    """Files of which the tests are in no community."""
+    return v.parts(spark, d).withColumn("community", F.when(~F.col("is_test"), F.col("community")))
+
+
+@query("SELECT count(*) AS total, count(CASE WHEN NOT is_test THEN 1 END) AS clustered, count(CASE WHEN is_test THEN 1 END) AS orphans FROM parts")
 def coverage(spark, d):
-    files = v.parts(spark, d).withColumn("community", F.when(~F.col("is_test"), F.col("community")))
-    return overview.coverage(files).withColumn("orphans", F.array_join("orphans", "|"))
+    return overview.coverage(_covered(spark, d))
+
+
+@query("SELECT id, path FROM parts WHERE is_test")
+def coverage_orphans(spark, d):
+    return overview.orphans(_covered(spark, d))
 
 
 @query("SELECT ['GET', 'POST', 'PUT'][(k % 3 + 1)::int] AS http_method, '/' || lower(language) || '/' || k AS route, path, name FROM parts WHERE is_core")
@@ -539,10 +569,29 @@ def route_table(spark, d):
     return overview.routes(nodes)
 
 
-@query("SELECT CASE WHEN k % 2 = 0 THEN 'jest' ELSE 'vitest' END AS test_framework, count(*) AS n, array_to_string(list_sort(list(path)), '|') AS paths FROM parts WHERE is_test GROUP BY 1")
+def _tested(spark, d):
+    return v.parts(spark, d).withColumn("test_framework", F.when(F.col("k") % 2 == 0, "jest").otherwise("vitest"))
+
+
+@query("SELECT CASE WHEN k % 2 = 0 THEN 'jest' ELSE 'vitest' END AS test_framework, path FROM parts WHERE is_test")
 def test_inventory(spark, d):
-    files = v.parts(spark, d).withColumn("test_framework", F.when(F.col("k") % 2 == 0, "jest").otherwise("vitest"))
-    return overview.tests(files).withColumn("paths", F.array_join("paths", "|"))
+    return overview.tests(_tested(spark, d))
+
+
+@query("SELECT CASE WHEN k % 2 = 0 THEN 'jest' ELSE 'vitest' END AS test_framework, count(*) AS n FROM parts WHERE is_test GROUP BY 1")
+def test_frameworks(spark, d):
+    return overview.test_frameworks(_tested(spark, d))
+
+
+@query("SELECT community, count(*) AS size, array_to_string(list_sort(list(path) FILTER (is_core)), '|') AS spine FROM parts GROUP BY community")
+def communities_with_spine(spark, d):
+    found = overview.communities_with_spine(v.parts(spark, d))
+    return found.select("community", "size", F.when(F.size("spine") > 0, F.array_join("spine", "|")).alias("spine"))
+
+
+@query("SELECT id, path, pagerank FROM parts WHERE is_core ORDER BY pagerank DESC, id")
+def spine_files(spark, d):
+    return v.parts(spark, d).where("is_core").orderBy(F.desc("pagerank"), "id").select("id", "path", "pagerank")
 
 
 _SNAPSHOTS = "was AS (SELECT community, list(path) AS spine FROM parts WHERE is_core OR k % 50 = 0 GROUP BY community), cur AS (SELECT community, list(path) AS spine FROM parts WHERE is_core AND k % 3 <> 0 OR k % 77 = 0 GROUP BY community)"
@@ -613,6 +662,33 @@ def merge_deltas(spark, d):
     return incremental.merge_deltas(log.where("change_type = 'deleted'"), log.where("change_type <> 'deleted'"))
 
 
+@query(f"WITH {_STATES}, {_LOG} SELECT path, change_type FROM (SELECT DISTINCT 'f' || user_id AS path, CASE event_type WHEN 'click' THEN 'added' WHEN 'view' THEN 'changed' ELSE 'deleted' END AS change_type FROM events) WHERE change_type = 'deleted' OR path IN (SELECT path FROM now)", graph=False)
+def indexable_changes(spark, d):
+    kind = F.when(F.col("event_type") == "click", "added").when(F.col("event_type") == "view", "changed").otherwise("deleted")
+    delta = read(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), kind.alias("change_type")).distinct()
+    return incremental.indexable(delta, _states(spark, d)[1])
+
+
+_DIRTY = f"{_STATES}, {_DELTA}, dep AS (SELECT 'f' || doc_id AS path FROM documents WHERE doc_id % 10 = 4)"
+
+
+@query(f"WITH {_DIRTY} SELECT DISTINCT 'extract' AS what, path FROM (SELECT path FROM delta WHERE change_type IN ('added', 'changed') UNION ALL SELECT path FROM dep) UNION ALL SELECT DISTINCT 'delete', path FROM (SELECT path FROM delta WHERE change_type IN ('deleted', 'changed') UNION ALL SELECT path FROM dep)", graph=False)
+def dirty_sets(spark, d):
+    docs = read(spark, d, "documents")
+    depend = docs.where("doc_id % 10 = 4").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
+    out, gone = incremental.dirty_sets(incremental.hash_delta(*_states(spark, d)), depend)
+    return out.select(F.lit("extract").alias("what"), "path").unionByName(gone.select(F.lit("delete").alias("what"), "path"))
+
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'abc' ELSE 'def' END AS last_commit, CASE WHEN r_regionkey % 2 = 1 THEN 'u' END AS source_url, 'now' AS last_indexed FROM region", graph=False)
+def stamp_repositories(spark, d):
+    rows = read(spark, d, "region")
+    odd = F.col("r_regionkey") % 2 == 1
+    stored = rows.select(F.col("r_name").alias("name"), F.when(odd, "def").alias("last_commit"), F.when(odd, "u").alias("source_url"), F.lit("before").alias("last_indexed"))
+    known = incremental.stamp(stored.where("last_commit is not null"), None, None, "now")
+    return known.unionByName(incremental.stamp(stored.where("last_commit is null"), "abc", None, "now"))
+
+
 @query("AND t AS (SELECT id FROM parts WHERE is_core) SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM t) AND src NOT IN (SELECT id FROM t)")
 def dependents_cascade(spark, d):
     e = v.edges(spark, d)
