@@ -178,9 +178,10 @@ QUERIES["embed_vectors"] = embed_vectors
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files."""
+    """The events as a stream of files.  A pattern, as a stream takes no path of
+    a single file."""
     known = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(known).option("maxFilesPerTrigger", 1).option("basePath", sf_dir).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(known).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
 
 
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
