@@ -19,6 +19,7 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 CACHE_CUTS = 1_000_000
 LONGEST_CACHED = 48
 BLOCK_CHARS = 4_000_000
+JOINED_CUTS = 20_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -50,11 +51,32 @@ class Encoder:
         self._mark = {m: self._raw([m])[0] for m in ",."}
         #: Special tokens are found before any cut, so texts that spell one aren't cut.
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab()
+        #: Bytes of each id: a byte-level vocabulary spells a byte as a character.
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self._bytes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
+    def _joined(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each cut, by encoding many as one text: ids never reach across
+        cuts, so their byte lengths tell where each cut ends."""
+        out: list[bytes] = []
+        for i in range(0, len(cuts), JOINED_CUTS):
+            part = cuts[i : i + JOINED_CUTS]
+            ids = np.array(self._tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "replace")) for c in part])
+            after = np.cumsum(self._bytes[ids])
+            stops = np.searchsorted(after, ends) + 1
+            if stops[-1] != len(ids) or not np.array_equal(after[stops - 1], ends):
+                out += self._raw(part)
+                continue
+            raw, at = ids.tobytes(), (4 * stops).tolist()
+            out += [raw[a:b] for a, b in zip([0, *at], at, strict=False)]
+        return out
+
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of new cuts; ``word,`` and ``word.`` are a word and a mark, which
         the pattern always parts after a letter."""
@@ -69,7 +91,7 @@ class Encoder:
             else:
                 names.add(p)
         names = list(names)
-        fresh = dict(zip(names, self._raw([p if p[0] == "\n" else " " + p for p in names]), strict=True))
+        fresh = dict(zip(names, self._joined([p if p[0] == "\n" else " " + p for p in names]), strict=True))
         cache.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_CACHED)
         for p, word in ended:
             fresh[p] = (fresh[word] if word in fresh else cache[word]) + marks[p[-1]]
@@ -96,7 +118,8 @@ class Encoder:
         cache = self._cache
         if len(cache) > self._limit:
             cache.clear()
-        split = [_parts(t) for t in texts]
+        whole = {i: self._raw([t])[0] for i, t in enumerate(texts) if any(x in t for x in self._special)}
+        split = [[""] if i in whole else _parts(t) for i, t in enumerate(texts)]
         firsts = self._raw([s[0] for s in split])
         seen: set[str] = set()
         for s in split:
@@ -105,9 +128,9 @@ class Encoder:
         missing = [p for p in seen if p not in cache]
         odd = {p for p in missing if not _starts_cut(p)}
         fresh = self._learn([p for p in missing if p not in odd])
-        for first, rest, text in zip(firsts, split, texts, strict=True):
-            if any(t in text for t in self._special):
-                yield self._raw([text])[0]
+        for i, (first, rest, text) in enumerate(zip(firsts, split, texts, strict=True)):
+            if i in whole:
+                yield whole[i]
                 continue
             if odd and not odd.isdisjoint(rest):
                 yield self._irregular(text)
