@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, langid, packing, simhash, toxicity
+from sparkloom.llm import decontaminate, langid, nearcopies, packing, toxicity
 from sparkloom.llm.common import held_out, staged, table
 
 #: A prediction below this is no language that the corpus knows.
@@ -33,8 +33,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8
+    or more): the least doc_id."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
