@@ -13,7 +13,7 @@ from sparkloom.functions.text import label_segments
 from sparkloom.operators.graph import numbered
 from sparkloom.sources.shared import staged
 
-#: Above this many edges Leiden gives way to distributed label propagation.
+#: Above this many edges a graph is contracted, distributed, before Leiden runs.
 LOCAL_EDGES = 1_000_000
 
 
@@ -63,31 +63,84 @@ def leiden(nodes: DataFrame, links: DataFrame, seed: int = 42, limit: int = LOCA
     """(id, community number) by Leiden: local moving, refinement, aggregation.
 
     File graphs are small: up to ``limit`` links one executor task runs it.  A
-    larger graph is first contracted by label propagation, distributed, and its
-    communities are taken from that.
+    larger graph is first contracted (see ``contracted``) until its links fit; the
+    task runs Leiden on that weighted graph, whose communities are mapped back.
     """
+    ids = nodes.select("id").distinct()
     if links.limit(limit + 1).count() > limit:
-        found = label_propagation(nodes, links)
+        member, weighted = contracted(ids, links, limit)
+        total = weighted.agg(F.sum("w")).first()[0]
+        apart = weighted.where("src <> dst")
+        if apart.limit(limit + 1).count() > limit:  # no two groups gain by joining
+            found = member.withColumnRenamed("grp", "community")
+        else:
+            rows = weighted.join(apart.select("src").distinct(), "src", "left_semi")
+            top = _leiden_in_one_task(rows, seed, total).select(F.col("id").alias("grp"), "community")
+            # Groups without links out of them are communities; "=" keeps their names apart.
+            found = member.join(top, "grp", "left").select("id", F.coalesce("community", F.concat(F.lit("="), "grp")).alias("community"))
     else:
-        rows = links.select("src", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pairs = pdf.dropna()
-            member = leiden_local(sorted(set(pdf["src"])), list(zip(pairs["src"], pairs["dst"], strict=True)), seed)
-            return pd.DataFrame({"id": list(member), "community": [str(c) for c in member.values()]})
-
-        found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id string, community string")
+        rows = links.select("src", "dst", F.lit(1.0).alias("w")).unionByName(nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w")))
+        found = _leiden_in_one_task(rows, seed)
     firsts = found.groupBy("community").agg(F.min("id").alias("first"), F.count("*").alias("size"))
     return found.join(numbered(firsts, F.desc("size"), F.col("first")), "community").select("id", F.col("number").alias("community"))
 
 
-def leiden_local(ids: list[str], links: list[tuple[str, str]], seed: int = 42, rounds: int = 10) -> dict[str, int]:
-    """Leiden by modularity on one machine; links hold both directions."""
+def _leiden_in_one_task(rows: DataFrame, seed: int, total: float | None = None) -> DataFrame:
+    """(id, community) from rows (src, dst, w); a null dst only names a node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = pdf.dropna()
+        member = leiden_local(sorted(set(pdf["src"])), list(zip(pairs["src"], pairs["dst"], pairs["w"], strict=True)), seed, total=total)
+        return pd.DataFrame({"id": list(member), "community": [str(c) for c in member.values()]})
+
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id string, community string")
+
+
+def contracted(ids: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """((id, grp), (src, dst, w)): groups of nodes, and the links between and (as
+    loops) inside them, at most ``limit`` between unless no join of two groups
+    raises modularity any more.
+
+    Groups start as single nodes.  In each round every group finds the neighbour
+    it gains most by joining; of these, groups dealt as joiners join one dealt as
+    a centre, best first, as long as each raises modularity over all that came
+    before it.  So groups are connected, and modularity rises with every round.
+    Rounds are written tables.
+    """
+    member = staged(ids.select("id", F.col("id").alias("grp")), "members")
+    weighted = staged(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "links")
+    total = weighted.agg(F.sum("w")).first()[0]
+    level = 0
+    while weighted.where("src <> dst").limit(limit + 1).count() > limit:
+        degree = weighted.groupBy("src").agg(F.sum("w").alias("d"))
+        gain = F.col("w") - F.col("da") * F.col("db") / total
+        pairs = weighted.where("src <> dst").join(degree.toDF("src", "da"), "src").join(degree.toDF("dst", "db"), "dst").withColumn("gain", gain)
+        best = pairs.where(F.col("gain") > 1e-12).groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("m"), "dst", "w", "da", "db")).alias("b")).select("src", "b.*")
+        best = staged(best, "best")
+        if best.isEmpty():
+            break
+        # The pair of the highest gain counts as dealt right: no round is idle.
+        top = best.orderBy("m", F.least("src", "dst"), "src").first()
+        centre = lambda c: (F.xxhash64(F.col(c), F.lit(level)) % 2 == 0) & (F.col(c) != top["src"]) | (F.col(c) == top["dst"])
+        before = F.sum("da").over(Window.partitionBy("dst").orderBy("m", "src").rowsBetween(Window.unboundedPreceding, -1))
+        joins = best.where(~centre("src") & centre("dst")).withColumn("before", F.coalesce(before, F.lit(0.0)))
+        joins = staged(joins.where(F.col("w") - F.col("da") * (F.col("db") + F.col("before")) / total > 0).select("src", "dst"), "joins")
+        a, b = joins.toDF("src", "sa"), joins.toDF("dst", "sb")
+        weighted = weighted.join(a, "src", "left").join(b, "dst", "left").groupBy(F.coalesce("sa", "src").alias("s"), F.coalesce("sb", "dst").alias("t")).agg(F.sum("w").alias("w")).toDF("src", "dst", "w")
+        weighted = staged(weighted, "links")
+        member = staged(member.join(joins.toDF("grp", "to"), "grp", "left").select("id", F.coalesce("to", "grp").alias("grp")), "members")
+        level += 1
+    return member, weighted
+
+
+def leiden_local(ids: list[str], links: list[tuple], seed: int = 42, rounds: int = 10, total: float | None = None) -> dict[str, int]:
+    """Leiden by modularity on one machine; links (a, b) or (a, b, weight) hold
+    both directions.  ``total`` is the weight of a graph these are part of."""
     rng = random.Random(seed)
     weights: dict[str, dict] = {i: defaultdict(float) for i in ids}
-    for a, b in links:
-        weights[a][b] += 1.0
-    total = sum(map(len, [links])) or 1
+    for a, b, *w in links:
+        weights[a][b] += w[0] if w else 1.0
+    total = total or sum(w for near in weights.values() for w in near.values()) or 1
     groups = {i: [i] for i in ids}
     graph = {i: dict(w) for i, w in weights.items()}
     degree = {i: sum(w.values()) for i, w in graph.items()}

@@ -259,3 +259,28 @@ def test_deleting_a_file_takes_its_members(spark):
     edges = spark.createDataFrame([("f", "f#C"), ("g", "f"), ("g", "g")], "src string, dst string")
     kept, left = graph.delete_files(nodes, edges, spark.createDataFrame([("a.ts",)], "path string"))
     assert [r.id for r in kept.collect()] == ["g"] and [tuple(r) for r in left.collect()] == [("g", "g")]
+
+
+def test_leiden_above_the_limit_keeps_modularity(spark):
+    """A ring of small cliques: contraction and Leiden must come near what Leiden
+    reaches alone, and a hub's leaves must not all join it blindly."""
+    pairs = [(f"n{k:02}{a}", f"n{k:02}{b}") for k in range(40) for a in range(5) for b in range(a)]
+    pairs += [(f"n{k:02}0", f"n{(k + 1) % 40:02}1") for k in range(40)] + [("hub", f"n{k:02}2") for k in range(40)]
+    ids = sorted({x for p in pairs for x in p}) + ["alone"]
+    both = [*pairs, *((b, a) for a, b in pairs)]
+
+    def modularity(of):
+        mass, inside = {}, 0
+        for a, b in both:
+            mass[of[a]] = mass.get(of[a], 0) + 1
+            inside += of[a] == of[b]
+        return inside / len(both) - sum((m / len(both)) ** 2 for m in mass.values())
+
+    nodes, links = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(both, "src string, dst string")
+    alone = modularity({r.id: r.community for r in analytics.leiden(nodes, links).collect()})
+    spread = modularity({r.id: r.community for r in analytics.label_propagation(nodes, links).collect()})
+    for limit in (150, 500):
+        large = {r.id: r.community for r in analytics.leiden(nodes, links, limit=limit).collect()}
+        print(limit, modularity(large), alone, spread)
+        assert set(large) == set(ids) and modularity(large) > 0.97 * alone > spread
+        assert [c for c in large.values()].count(large["alone"]) == 1
