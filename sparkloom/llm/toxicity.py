@@ -35,7 +35,8 @@ BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 18, 10, 8, 8
 #: Features of fewer training documents stay without an embedding.
 LEAST_SEEN = 3
 GRAMS = (4, 5)
-_WORD = re.compile(r"\w+")
+#: Longer runs are read as consecutive pieces of 64 characters.
+_WORD = re.compile(r"\w{1,64}")
 _CACHED_WORDS = 120_000
 _BLOCK_WORDS = 150_000
 
@@ -47,7 +48,7 @@ def words_of(text: str | None) -> list[str]:
 def features(word: str) -> tuple[int, array]:
     """Bucket of the word and those of its n-grams (over UTF-8, marked ends);
     a compact array, as training holds one for each different word."""
-    raw = b"<%b>" % word[:64].encode("utf-8", "replace")
+    raw = b"<%b>" % word.encode("utf-8", "replace")
     mask, crc = BUCKETS - 1, zlib.crc32
     grams = [crc(raw[i : i + n]) & mask for n in GRAMS for i in range(len(raw) - n + 1)] or [crc(raw) & mask]
     return crc(raw) & mask, array("I", grams)

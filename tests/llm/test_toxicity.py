@@ -82,3 +82,10 @@ def test_table_and_odd_rows(odd, make_docs, spark):
     assert len(out) == 7 and all(r.predicted == 0 for r in out)
     assert all(r.score == 0 and r.window == -1 for r in out if r.doc_id in (0, 1, 5))
     assert x.score_table(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_part_of_a_long_word_is_read():
+    head, tail = "a" * 64, "grobian_" * 20
+    assert "".join(x.words_of(head + tail)) == head + tail
+    rows = [{x.features(w)[0] for w in x.words_of(head + end)} for end in (tail, "tandor_" * 20)]
+    assert rows[0] != rows[1] and x.words_of("b" * 64) == ["b" * 64]
