@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A first pass counts, over all documents, the words that the benchmark uses.  At
-each place of a test item the shortest n-gram (3 to 7 words) that is unlikely to
+each place of a test item the shortest n-gram (2 to 7 words) that is unlikely to
 stand in a document by chance, going by those counts, is a seed; copies of an
 item do not make its seeds common, as only single words are counted.  A second
 pass finds the seeds in every document, and the stretch of text around them is
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_SCORE = 0.4
-SHORTEST, LONGEST = 3, 7
+SHORTEST, LONGEST = 2, 7
 #: Seeds that a document may hold by chance, on average, over the whole benchmark.
 CHANCE = 0.05
 BLOCK_CHARS = 20_000_000

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm.decontaminate import align, find_leaks, mark_leaks, words_of
+from sparkloom.llm.decontaminate import MIN_SCORE, Block, align, find_leaks, mark_leaks, words_of
 
 VOCABULARY = [a + b for a in "bcdfgklmnprst" for b in "a e i o u an el in or ut".split()]
 
@@ -63,3 +63,14 @@ def test_odd_rows(odd, spark, case):
     assert find_leaks(odd.limit(0), bench).count() == find_leaks(odd, bench.limit(0)).count() == 0
     short = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert sorted(r.doc_id for r in find_leaks(odd, short).collect()) == [3, 3]
+
+
+def test_every_third_word_changed_still_holds_a_seed():
+    g = random.Random(9)
+    items = [(i, " ".join(f"w{g.randrange(400)}" for _ in range(30))) for i in range(30)]
+    block = Block(items)
+    block.choose_seeds(np.full(len(block.vocabulary), 500), 1_000_000, 10_000)  # bigrams are rare enough
+    for i, text in items:
+        words = text.split()
+        words[2::3] = ["changed"] * len(words[2::3])
+        assert i in {h[0] for h in block.hits(" ".join(words), MIN_SCORE)}
