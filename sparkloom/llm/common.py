@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; where that is unset (tests on one machine) a temporary one."""
+    session.  Where that is unset, one process on one machine gets a temporary
+    folder; on a cluster it is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         place = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -41,6 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name for a new column: ``name``, with underscores before it until no
+    column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket(column: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; 0 marks held-out documents."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

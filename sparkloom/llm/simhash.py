@@ -12,9 +12,11 @@ replicas of its anchor, hence every linked pair meets; exact comparison of all
 
 Equal fingerprints are merged before anything is replicated, so groups of exact
 copies cost one fingerprint, and the rows compared grow with the number of
-different fingerprints.  Components are found by hooking each vertex to its
-least neighbour and contracting the (few) links between what is left; every
-round is a written table.
+different fingerprints.  Links name the groups by their least row, in an order
+in which the least member of a component is its result: nothing is ever dealt by
+component.  Components are found by hooking each vertex to its least neighbour
+and contracting the (few) links between what is left; every round is a written
+table.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import free_name, staged
 
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
@@ -80,31 +82,24 @@ def _halves(fp: str) -> Column:
     )
 
 
-def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs (a < b) of different fingerprints within ``distance`` (at most 3).
+def links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
+    """Pairs (a < b) of different fingerprints within ``distance`` (at most 3),
+    given by their values in column ``name``, one for each fingerprint.
 
     ``fps`` has one row per different fingerprint, in column ``fp``.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the anchors cover distances of 0 to 3")
-    coded = (
-        fps.select("fp", F.inline(_halves("fp")))
-        .withColumn("s", _syndrome(F.col("code")))
-        .select("fp", "half", "code", "s")
-    )
-    home = coded.select(F.col("fp").alias("a"), "half", F.col("code").bitwiseXOR(_bit(F.col("s"))).alias("anchor"))
+    coded = fps.select(F.col("fp").alias("bits"), F.col(name).alias("name"), F.inline(_halves("fp"))).withColumn("s", _syndrome(F.col("code")))
+    home = coded.select(F.col("bits").alias("x"), F.col("name").alias("a"), "half", F.col("code").bitwiseXOR(_bit(F.col("s"))).alias("anchor"))
     # Code words within 2 of a half: flip i and i xor s, where place 0 flips nothing.
     flips = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: i < i.bitwiseXOR(F.col("s")))
     around = F.when(F.col("s") == 0, F.array(F.col("code"))).otherwise(
         F.transform(flips, lambda i: F.col("code").bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(F.col("s")))))
     )
-    replicas = coded.select(F.col("fp").alias("b"), "half", F.explode(around).alias("anchor"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return (
-        home.join(replicas, (home.half == replicas.half) & (home.anchor == replicas.anchor) & near)
-        .select("a", "b")
-        .distinct()
-    )
+    replicas = coded.select(F.col("bits").alias("y"), F.col("name").alias("b"), "half", F.explode(around).alias("anchor"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
+    return home.join(replicas, ["half", "anchor"]).where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,14 +147,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the least ids (a component of null ids alone has a null component_id).  An
     empty table gives an empty result.  Other columns are neither read nor kept.
     """
-    marked = docs.select(F.col(id_col).alias(id_col), fingerprints(F.col(text_col)).alias("fp"))
+    marked = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"))
     marked = staged(marked, "fingerprints")
-    groups = staged(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "groups")
-    roots = components(links(groups.select("fp"), distance))
-    linked = groups.join(roots, groups.fp == roots.vertex, "left").select("fp", "least", "root")
-    smallest = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("component_least"))
-    named = linked.join(smallest, "root", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"))
-    return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    # In order: known least ids first, then groups of null ids alone.
+    groups = staged(groups.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("name")), "groups")
+    roots = components(links(groups, distance, "name"))
+    named = groups.join(roots, groups.name == roots.vertex, "left").select("fp", F.coalesce("root", "name").getField("least").alias("component_id"))
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
@@ -169,13 +164,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     Rows are numbered and fingerprinted once, in a written table, so the rows
     that stay are found by number and only they meet their texts again.
     """
-    marked = docs.withColumns({"_fp": fingerprints(F.col(text_col)), "_row": F.monotonically_increasing_id()})
-    marked = staged(marked, "marked")
-    least = F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("least")
-    groups = staged(marked.groupBy(F.col("_fp").alias("fp")).agg(least), "groups")
-    roots = components(links(groups.select("fp"), distance))
-    linked = groups.join(roots, groups.fp == roots.vertex, "left")
-    alone = linked.where("root is null").select("least.row")
-    chosen = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("least")).select("least.row")
-    stay = alone.unionByName(chosen).select(F.col("row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    marked = staged(docs.withColumns({fp: fingerprints(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
+    least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
+    groups = staged(marked.groupBy(F.col(fp).alias("fp")).agg(least), "groups")
+    stay = firsts(groups, components(links(groups, distance, "name")))
+    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)
+
+
+def firsts(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (``name.row``) of the groups that are in no component or its root."""
+    linked = groups.join(roots, groups.name == roots.vertex, "left")
+    return linked.where("root is null or root = name").select("name.row")
