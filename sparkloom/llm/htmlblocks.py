@@ -1,179 +1,315 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one a block element.  Lines inside menus, headers,
-footers, sidebars, forms, adverts, notices, comments and the like weigh nothing,
-nor do those outside the page's article or main element, if it has one.  The
-lengths of the text of the other lines (text of links apart) are summed over a
-sliding window of ``WINDOW`` lines.  Text surges where a window rises above the
-threshold and dives where it falls back to it; the lines between are the text.
-Inside a declared article any text is above the threshold, so short headings and
-paragraphs at its ends stay; elsewhere a window needs ``SURGE`` characters.
+Markup is stripped to lines, one a block element.  A line weighs the length of
+its text apart from links; lines inside menus, headers, footers, sidebars, forms,
+adverts, notices and comments weigh nothing.  Inside an article or main element
+links count as text and a line weighs ``SURGE`` more, and regions set apart there
+are cut out.  Sums of the weights over a sliding window of ``WINDOW`` lines show
+where text is: it surges where the sum rises from zero and dives where it falls
+back to zero.  A stretch between surge and dive is kept if some window of it
+passes ``SURGE`` characters (or the highest of the page, if none does).  If such
+stretches lie inside an article or main element, those outside are not the
+article and go.
+
+Pages are scanned once; broken ones, with unclosed tags, quotes or elements,
+too: what failed to close is remembered and not looked for again.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass
+from bisect import bisect_right
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm.common import free_name
+
 WINDOW = 3
 SURGE = 60
 
 _BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title noscript textarea iframe template svg math object select button canvas audio video noframes xmp".split())
+#: Elements whose content is no text of the page, forms' fields included.
+_RAW = frozenset("script style title textarea iframe template svg select button noframes xmp".split())
+#: Of these, what never closes runs to the end of the page.
+_TO_THE_END = frozenset("script style title textarea xmp".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog".split())
 _ROOTS = frozenset(("article", "main"))
-_WHOLE = frozenset(("html", "body", "article", "main"))
+_WHOLE = frozenset(("html", "body"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|commentary|disqus|replies|reply|respond)(?:$|[_-])", re.I)
 #: Names in class, id or role that mark what isn't the article.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|"
-    r"newsletter|subscribe|subscription|signup|login|popup|modal|overlay|share|sharing|social|sidebar|side|rail|menu|menubar|nav|navbar|navigation|navigation-bar|"
-    r"breadcrumbs?|pagination|pager|comments?|commentlist|comment-list|disqus|replies|respond|related|recommended|footer|header|masthead|topbar|"
-    r"toolbar|search|contentinfo|complementary|skip|hidden|sr-only|copyright|tags|widget)(?:$|[\s_-])",
+    _COMMENTS.pattern + r"|(?:^|[_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|"
+    r"newsletter|subscribe|subscription|signup|login|popup|modal|overlay|sidebar|menu|menubar|nav|navbar|navigation|"
+    r"breadcrumbs?|pagination|pager|footer|header|masthead|topbar|contentinfo|complementary)(?:$|[_-])",
     re.I,
 )
+#: Names such as ``no-sidebar`` tell of an element beside or away.
+_ABOUT = re.compile(r"(?:no|has|with|without|hide|is)[_-]", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_CLOSERS: dict[str, re.Pattern] = {}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOPS = re.compile(r"[>\"']")
+_CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+
+
+@dataclass(slots=True)
+class Tag:
+    """A tag or, with an empty name, the end of the page; ``low`` to ``high`` is
+    the text before it.  ``end`` is the tag where the element ends, ``closed``
+    whether by its own end tag."""
 
+    name: str
+    closing: bool
+    attributes: str
+    low: int
+    high: int
+    end: int = 0
+    closed: bool = False
 
-@dataclass
+
+@dataclass(slots=True)
 class Line:
     text: str
     weight: int
     in_root: bool
+    apart: bool
+
+
+class _Scanner:
+    """The tags of a page in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.last_mark = page, page.rfind(">")
+        self.odd: set[int] = set()
+        self.absent: set[str] = set()
+
+    def _after_tag(self, at: int) -> int:
+        """Behind the ``>`` that ends the tag; ``>`` in quotes ends none, unless
+        the quotes never balance.  Quotes on a way that failed are remembered."""
+        page, way, here = self.page, [], at
+        while stop := _STOPS.search(page, here):
+            here = stop.end()
+            if stop[0] == ">":
+                return here
+            if stop.start() in self.odd:
+                break
+            way.append(stop.start())
+            close = page.find(stop[0], here)
+            here = close + 1 if close >= 0 else here
+        self.odd.update(way)
+        return page.find(">", at) + 1
+
+    def _after_raw(self, name: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no text."""
+        found = None if name in self.absent else _CLOSERS[name].search(self.page, at)
+        if found:
+            return self.page.find(">", found.end()) + 1 or len(self.page)
+        self.absent.add(name)
+        return len(self.page) if name in _TO_THE_END else at
+
+    def tags(self) -> list[Tag]:
+        page, out, low, at = self.page, [], 0, 0
+        while 0 <= (at := page.find("<", at)) < self.last_mark:
+            kind = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                after = close + 3 if close >= 0 else len(page)
+                out.append(Tag("!", True, "", low, at))
+            elif kind in ("!", "?"):
+                after = page.find(">", at) + 1
+                out.append(Tag("!", True, "", low, at))
+            elif name := _NAME.match(page, at + 1 + (kind == "/")):
+                after = self._after_tag(name.end())
+                attributes = page[name.end() : after - 1].strip()
+                tag = Tag(name[0].lower(), kind == "/", attributes, low, at)
+                out.append(tag)
+                if tag.name in _RAW and not tag.closing and not attributes.endswith("/"):
+                    after = self._after_raw(tag.name, after)
+            elif kind == "/":
+                after = page.find(">", at) + 1
+                out.append(Tag("!", True, "", low, at))
+            else:
+                at += 1
+                continue
+            low = at = after
+        if page.startswith("<!--", at) and at >= 0:
+            out.append(Tag("", True, "", low, at))  # a comment that never ends
+        else:
+            out.append(Tag("", True, "", low, len(page)))
+        return out
+
+
+@dataclass(slots=True)
+class _Frame:
+    """An open block element and the inline elements opened in it."""
+
+    tag: int
+    name: str
+    inline: list[int] = field(default_factory=list)
+    open: dict[str, int] = field(default_factory=dict)
+
+
+def _match(tags: list[Tag]) -> None:
+    """Find where elements end.  An end tag ends the innermost open element of
+    its name and all opened in it since; an inline one only within its block."""
+    frames, blocks = [_Frame(-1, "")], {}
+    for i, tag in enumerate(tags):
+        name = tag.name
+        if not name or name == "!" or name in _VOID or name in _RAW:
+            continue
+        top = frames[-1]
+        if not tag.closing:
+            if tag.attributes.endswith("/") and name not in _BLOCKS:
+                tag.end, tag.closed = i, True
+            elif name in _BLOCKS:
+                frames.append(_Frame(i, name))
+                blocks[name] = blocks.get(name, 0) + 1
+            else:
+                top.inline.append(i)
+                top.open[name] = top.open.get(name, 0) + 1
+        elif name in _BLOCKS:
+            while blocks.get(name):
+                gone = frames.pop()
+                blocks[gone.name] -= 1
+                for k in gone.inline:
+                    tags[k].end = i
+                tags[gone.tag].end = i
+                if gone.name == name:
+                    tags[gone.tag].closed = True
+                    break
+        elif top.open.get(name):
+            while True:
+                k = top.inline.pop()
+                top.open[tags[k].name] -= 1
+                tags[k].end = i
+                if tags[k].name == name:
+                    tags[k].closed = True
+                    break
+    for frame in frames:
+        for k in [*frame.inline, frame.tag]:
+            if k >= 0:
+                tags[k].end = len(tags) - 1
+
+
+@lru_cache(4096)
+def _names(attributes: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether attributes hide an element, and the names that say what it is."""
+    found = [n for groups in _ATTRIBUTE.findall(attributes) for n in " ".join(groups).split()]
+    return bool(_HIDDEN.search(attributes)), tuple(n for n in found if not _ABOUT.match(n))
 
 
 def _set_apart(name: str, attributes: str, in_root: bool) -> bool:
     if name in _WHOLE:
         return False
-    if name in _ASIDE and not (name == "header" and in_root):
+    hidden, names = _names(attributes) if attributes else (False, ())
+    if hidden or any(map(_COMMENTS.search, names)):
         return True
-    if not attributes:
+    if name in _ROOTS:
         return False
-    if _HIDDEN.search(attributes):
+    if name in _ASIDE and not (name == "header" and in_root):
         return True
-    for groups in _ATTRIBUTE.findall(attributes):
-        value = " ".join(groups).strip()
-        if value and _NAMED.search(value) and not (in_root and re.fullmatch(r"[\w-]*header[\w-]*", value, re.I)):
-            return True
-    return False
+    return any(_NAMED.search(n) and not (in_root and re.search("header$|^header", n, re.I)) for n in names)
 
 
 def lines_of(page: str) -> list[Line]:
     """Lines of a page in order, with the weight of their text."""
+    tags = _Scanner(page).tags()
+    _match(tags)
+    openings = [i for i, t in enumerate(tags) if t.name in _ROOTS and not t.closing and not _set_apart(t.name, t.attributes, False)]
     out: list[Line] = []
     text: list[str] = []
     linked = 0
-    roots, apart, depth, link = 0, "", 0, 0
-    in_header = False
-    heading = 0
+    # Tags where what is open ends.
+    roots: list[int] = []
+    apart = cut = header = heading = link = -1
 
-    def close() -> None:
+    def close(in_root: bool) -> None:
         nonlocal linked
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append(Line(line, max(len(line) - linked, 0), roots > 0))
+                weight = SURGE + len(line) if in_root else max(len(line) - linked, 0)
+                out.append(Line(line, 0 if i <= apart else weight, in_root, i <= apart))
             text.clear()
         linked = 0
 
-    at, size = 0, len(page)
-    while at < size:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            low, high, mark = size, size, None
-        else:
-            low, high, mark = tag.start(), tag.end(), tag
-        if low > at and not apart and not (in_header and not heading):
-            piece = page[at:low]
+    for i, tag in enumerate(tags):
+        if tag.high > tag.low and not (i <= cut or (i <= header and i > heading)):
+            piece = page[tag.low : tag.high]
             text.append(piece)
-            if link:
+            if i <= link:
                 linked += len(piece)
-        at = high
-        if mark is None:
-            break
-        name = mark.group(2)
+        while roots and roots[-1] <= i:
+            close(True)
+            roots.pop()
+            if not roots:
+                out += [Line("", 0, False, True)] * WINDOW
+        name = tag.name
         if not name:
-            continue
-        name, closing = name.lower(), bool(mark.group(1))
-        if closing:
-            if apart:
-                if name == apart:
-                    depth -= 1
-                    if not depth:
-                        apart = ""
-                elif name in ("article", "main", "body", "html"):
-                    apart, depth = "", 0
-                if apart:
-                    continue
-            if name in _BLOCKS:
-                close()
-            if name in _ROOTS:
-                roots = max(roots - 1, 0)
-                in_header = in_header and roots > 0
-            elif name == "header":
-                in_header = False
-            elif name in _HEADINGS:
-                heading = max(heading - 1, 0)
-            elif name == "a":
-                link = max(link - 1, 0)
-            continue
-        attributes = mark.group(3).strip().rstrip("/")
-        if name in _RAW:
-            if not attributes.endswith("/") and not mark.group(0).endswith("/>"):
-                at = _after_raw(page, at, name)
-            elif name in _BLOCKS:
-                close()
-            continue
-        if name in _ROOTS and apart:
-            apart, depth = "", 0
-        if apart:
-            depth += name == apart and name not in _VOID
+            close(bool(roots))
+            break
+        if name == "!" or i < cut:
             continue
         if name in _BLOCKS:
-            close()
+            close(bool(roots))
+        if tag.closing or name in _RAW:
+            continue
         if name in _VOID:
             if name == "br":
                 text.append(" ")
             continue
-        if _set_apart(name, attributes, roots > 0):
-            close()
-            apart, depth = name, 1
+        if i >= apart and _set_apart(name, tag.attributes, bool(roots)):
+            close(bool(roots))
+            end = tag.end
+            if not tag.closed:
+                k = bisect_right(openings, i)
+                end = min(end, openings[k]) if k < len(openings) else end
+            if roots:
+                cut = end
+            else:
+                apart = end
+        elif i < apart:
             continue
-        if name in _ROOTS:
-            roots += 1
+        elif name in _ROOTS:
+            if not roots:
+                out += [Line("", 0, False, True)] * WINDOW
+            roots.append(tag.end)
         elif name == "header":
-            in_header = True
+            header = tag.end
         elif name in _HEADINGS:
-            heading += 1
+            heading = tag.end
         elif name in ("td", "th"):
             text.append(" ")
         elif name == "a":
-            link += 1
-    close()
+            link = tag.end
     return out
 
 
-def _after_raw(page: str, at: int, name: str) -> int:
-    closer = _CLOSERS.get(name)
-    if closer is None:
-        closer = _CLOSERS[name] = re.compile(rf"</{name}\s*[^>]*>", re.I)
-    found = closer.search(page, at)
-    if found:
-        return found.end()
-    return len(page) if name in ("script", "style", "textarea", "title", "xmp") else at
+def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, last line, highest window) of each stretch: from the line
+    where the window sums rise from zero to the one before they are zero again."""
+    out, total, start, last, most = [], 0, None, 0, 0
+    for i, w in enumerate([*weights, *[0] * WINDOW]):
+        total += w - (weights[i - WINDOW] if i >= WINDOW else 0)
+        if w:
+            start, last = (i if start is None else start), i
+        if start is not None:
+            most = max(most, total)
+            if not total:
+                out.append((start, last, most))
+                start, most = None, 0
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -182,23 +318,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    rooted = any(line.in_root for line in lines)
-    weights = [(line.weight or (len(line.text) if rooted else 0)) * (line.in_root or not rooted) for line in lines]
-    threshold = 0 if rooted else min(SURGE, max(weights, default=0) - 1)
-    kept = [False] * len(lines)
-    sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lines))]
-    start = None
-    for i, total in enumerate(sums):
-        if total > threshold and start is None:
-            # The surge: the first line of the window that carries text.
-            start = next(j for j in range(max(0, i - WINDOW + 1), i + 1) if weights[j])
-        if start is not None and (total <= threshold or i == len(sums) - 1):
-            # The dive: the last line before it that carries text.
-            end = next(j for j in range(i, start - 1, -1) if weights[j])
-            for j in range(start, end + 1):
-                kept[j] = weights[j] > 0 or not rooted
-            start = None
-    return "\n".join(line.text for line, k in zip(lines, kept, strict=True) if k)
+    found = stretches([line.weight for line in lines])
+    least = min(SURGE, max((most for *_, most in found), default=0) - 1)
+    found = [(a, b) for a, b, most in found if most > least]
+    inside = [(a, b) for a, b in found if lines[a].in_root]
+    return "\n".join(line.text for a, b in inside or found for line in lines[a : b + 1] if not line.apart)
 
 
 _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -210,10 +334,12 @@ def _extract(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with struct column ``main`` (text, n_chars); every other column
-    and row is kept, repeated ones too.  An empty table stays empty."""
-    return pages.withColumn("main", _extract(F.col(html_col)))
+def extract(pages: DataFrame, html_col: str = "html", out: str = "main") -> DataFrame:
+    """``pages`` with struct column ``out`` (text, n_chars); every other column
+    and row is kept, repeated ones too; where a column has that name, the new one
+    has underscores before it.  Of windows of equal height the stretches of all are kept.  An empty
+    table stays empty."""
+    return pages.withColumn(free_name(pages, out), _extract(F.col(html_col)))
 
 
 def extract_table(pages: DataFrame) -> DataFrame:
