@@ -9,8 +9,10 @@ text; the highest window decides, through a two-number calibration.
 Labels belong to documents, so training picks windows: those with the most
 telling features first, then, after each round, those that the network itself
 ranks highest in toxic and (as hard counterexamples) in clean documents.  It
-is written in numpy and runs on the driver over a bounded sample: at most about
-``SAMPLE_DOCS`` labelled documents a class, of at most ``SAMPLE_CHARS`` each.
+is written in numpy and runs on the driver over a bounded sample of labelled
+documents: about ``SAMPLE_DOCS`` a class and ``SAMPLE_CHARS`` characters a class,
+drawn by a hash of the id.  A document of any length may be drawn, and is then
+read whole.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import held_out
+from sparkloom.llm.common import held_out, free_name, staged
 
 SAMPLE_DOCS = {1: 1200, 0: 1800}
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 12_000_000
 WINDOW, STRIDE = 24, 12
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 18, 10, 8, 8
 #: Features of fewer training documents stay without an embedding.
@@ -367,26 +369,36 @@ class Scorer:
 _SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("window", T.LongType())])
 
 
+def _share(sizes: dict[int, int], most: dict[int, int]) -> Column:
+    """Of a row's class: the part that ``most`` allows."""
+    share = F.lit(0.0)
+    for y, n in sizes.items():
+        share = F.when(F.col("toxic") == y, F.lit(min(1.0, most[y] / max(n, 1)))).otherwise(share)
+    return share
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, chars: int = SAMPLE_CHARS) -> Network:
     """Learn from the labelled rows given.  A document labelled twice counts as
-    toxic if either row says so; null ids, texts and labels are left out.  The
-    drawn ids are bounded by ``sample`` on average and joined by broadcast, so
-    texts are not shuffled."""
+    toxic if either row says so; null ids, texts and labels are left out; of the
+    texts of a repeated id the least is read.  Ids are drawn down to ``sample`` a
+    class on average, joined by broadcast so that texts are not shuffled, and
+    drawn again if their texts hold more than ``chars`` characters a class."""
     sample = sample or SAMPLE_DOCS
+    drawn_first, drawn_next = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) for seed in (1, 2))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max(F.when(F.col("toxic") == 1, 1).otherwise(0))).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for y, n in sizes.items():
-        share = F.when(F.col("toxic") == y, F.lit(min(1.0, sample[y] / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    drawn = known.where(drawn_first < _share(sizes, sample) * (1 << 20))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = staged(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    held = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = rows.where(drawn_next < _share(held, dict.fromkeys((0, 1), chars)) * (1 << 20)).orderBy("doc_id").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct column ``toxicity``: score (0 to 1) and window (first
-    word of the deciding window, -1 without words).  Rows and columns are kept."""
+def score(docs: DataFrame, net: Network, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with struct column ``out``: score (0 to 1) and window (first word
+    of the deciding window, -1 without words).  Rows and columns are kept; where
+    a column has that name, the new one has underscores before it."""
     sent = docs.sparkSession.sparkContext.broadcast((net.p, net.calibration))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -395,7 +407,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(scorer.score(list(texts)), columns=_SCORED.names)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn("toxicity", F.pandas_udf(run, _SCORED)(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), F.pandas_udf(run, _SCORED)(F.col(text_col)))
 
 
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -403,7 +415,9 @@ def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     One row per row of ``docs``: doc_id, held_out, score, predicted, window.
     Null and empty texts score 0; without any labels of one class every text
-    gets that of the other.  An empty table gives an empty result.
+    gets that of the other.  Of windows with equal scores the first decides.
+    Columns other than doc_id and text are not read.  An empty table gives an
+    empty result.
     """
     net = fit(docs.where(~held_out()), labels.where(~held_out()))
     scored = score(docs.select("doc_id", "text"), net)
