@@ -19,17 +19,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import held_out
+from sparkloom.llm.common import held_out, free_name
 
 SAMPLE_DOCS = 1500
-VOCABULARY = 80_000
+VOCABULARY = 150_000
 LONGEST = 5
+#: A word seen once is read by its n-grams, as unseen words are.
 LEAST_SEEN = 2
+#: Counts and letters that a counting task or a kept row may hold.
+_HELD_COUNTS, _KEPT_LETTERS = 400_000, 64
 UNDETERMINED = "und"
 SMOOTHING = 0.1
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -81,11 +83,12 @@ class Model:
         try:
             at = [rows[w] for w in words]
         except KeyError:
+            long: dict[str, int] = {}
             for w in words:
-                if w not in rows:
-                    rows[w] = base + len(self._extra)
+                if w not in rows and w not in long:
+                    (rows if len(w) <= _KEPT_LETTERS else long)[w] = base + len(self._extra)
                     self._extra.append(self.unseen(w))
-            at = [rows[w] for w in words]
+            at = [rows[w] if w in rows else long[w] for w in words]
         at = np.array(at)
         known = at < base
         total = self.table[at[known]].sum(axis=0)
@@ -100,23 +103,27 @@ class Model:
 _COUNTS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("n", T.LongType())])
 
 
-def grams_of(word: str) -> list[str]:
+def grams_of(word: str) -> Iterator[str]:
     marked = f"<{word}>"
-    return [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
+    return (marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(kind: str, counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(kind, lang, u, n) for (lang, u), n in counts.items()], columns=_COUNTS.names)
+
     for batch in batches:
-        words = Counter()
+        words, grams = Counter(), Counter()
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             words.update((lang, w) for w in words_of(text))
-        grams = Counter()
         for (lang, w), n in words.items():
-            if len(w) <= 64:
-                for g in grams_of(w):
-                    grams[lang, g] += n
-        rows = [(k, lang, u, n) for k, c in (("w", words), ("g", grams)) for (lang, u), n in c.items()]
-        yield pd.DataFrame(rows, columns=_COUNTS.names)
+            for g in grams_of(w):
+                grams[lang, g] += n
+            if len(grams) > _HELD_COUNTS:
+                yield rows("g", grams)
+                grams.clear()
+        yield rows("w", words)
+        yield rows("g", grams)
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
@@ -137,11 +144,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = V
     index: dict[str, dict[str, int]] = {"w": {}, "g": {}}
     tables, offset = [], 0
     for kind in "wg":
-        own = units.where(F.col("kind") == kind).orderBy(F.desc("total"), "unit").limit(vocabulary).drop("kind").toArrow()
-        seen = np.asarray(own["total"]) >= LEAST_SEEN
-        if not seen.any():
-            seen[:] = True
-        own = own.filter(pa.array(seen))
+        least = LEAST_SEEN if kind == "w" else 1
+        own = units.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc("total"), "unit").limit(vocabulary).drop("kind").toArrow()
         n = np.stack([np.asarray(own[f"n{i}"], dtype=np.float64) for i in range(len(langs))], axis=1)
         index[kind] = {u: offset + i for i, u in enumerate(own["unit"].to_pylist())}
         offset += len(n)
@@ -152,9 +156,11 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = V
 _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct column ``language`` (lang_pred, score); every other
-    column and row is kept.  Only the text is read to predict."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+    """``docs`` with struct column ``out`` (lang_pred, score); every other column
+    and row is kept; where a column has that name, the new one has underscores
+    before it.  Only the text is read to predict.  Of languages with equal totals
+    the first in order is predicted."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -164,7 +170,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     # Annotations must be objects here, as pandas_udf reads them.
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn("language", F.pandas_udf(predict, _PREDICTED)(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), F.pandas_udf(predict, _PREDICTED)(F.col(text_col)))
 
 
 def predict_table(docs: DataFrame) -> DataFrame:
