@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts, over all documents, the words that the benchmark uses.  At
+A first pass counts, over all documents, the words that the benchmark uses; a
+join of these counts with the benchmark's words gives each word's rarity.  At
 each place of a test item the shortest n-gram (2 to 7 words) that is unlikely to
 stand in a document by chance, going by those counts, is a seed; copies of an
 item do not make its seeds common, as only single words are counted.  A second
@@ -9,27 +10,33 @@ aligned to the item, word by word (match +2, mismatch -1, gap -1).  The score is
 that of the best local alignment over that of a full copy, so edited and
 paraphrased copies are found as well as verbatim ones.
 
-The benchmark goes to every executor in blocks of at most ``BLOCK_CHARS``
-characters; a larger one is matched block after block.
+Seeds join passages to items by a hash join whose table, the seeds and words of
+at most ``BLOCK_CHARS`` characters of the benchmark, goes to every executor.  A
+larger benchmark is joined block after block: each block's hits are written
+before the next block is read, so one block is held at a time.
 """
 
 from __future__ import annotations
 
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm.common import free_name, staged
+
 MIN_SCORE = 0.4
 SHORTEST, LONGEST = 2, 7
 #: Seeds that a document may hold by chance, on average, over the whole benchmark.
 CHANCE = 0.05
 BLOCK_CHARS = 20_000_000
+SENT_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 _SPACES = bytes(32 if c < 128 and chr(c) in string.punctuation or c < 32 else c for c in range(256))
 
@@ -164,80 +171,111 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-_HITS = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-)
-_COUNTS = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
+_HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
+
+
+def _texts(batch: pd.DataFrame, column: str) -> list[str | None]:
+    return [t if isinstance(t, str) else None for t in batch[column]]
+
 
+def count_words(docs: DataFrame, items: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(word, n) over all documents for the words of the items; the number of all
+    words; of documents.  Up to ``SENT_WORDS`` words are sent to the tasks, which
+    then count no others; of a larger benchmark the tasks count every word of a
+    batch, and the join picks."""
 
-def _count_words(docs: DataFrame, block: Block) -> tuple[np.ndarray, int, int]:
-    """Counts of the block's words over all documents; all words; documents."""
-    size = len(block.vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = {w for t in _texts(batch, "text") for w in words_of(t)}
+            yield pd.DataFrame({"word": list(words)})
+
+    used = staged(items.select("text").mapInPandas(split, "word binary").distinct(), "benchmark-words")
+    few = used.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    sent = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]) for r in used.collect()} if few else None)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = sent.value
-        counts, words, rows = np.zeros(size + 1, dtype=np.int64), 0, 0
-        get = vocabulary.get
+        known = sent.value
         for batch in batches:
-            for text in batch["text"]:
-                ids = np.array([get(w, size) for w in words_of(text if isinstance(text, str) else None)], dtype=np.int64)
-                counts += np.bincount(ids, minlength=size + 1)
-                words += len(ids)
-                rows += 1
-        used = np.flatnonzero(counts[:size])
-        yield pd.DataFrame({"word": np.append(used, [-1, -2]), "n": np.append(counts[used], [words, rows])})
-
-    found = docs.select("text").mapInPandas(count, _COUNTS).groupBy("word").agg(F.sum("n").alias("n")).collect()
-    by = {r["word"]: r["n"] for r in found}  # at most the block's words
-    counts = np.zeros(size, dtype=np.int64)
-    for word, n in by.items():
-        if word >= 0:
-            counts[word] = n
-    return counts, by.get(-1, 0), by.get(-2, 0)
-
-
-def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, by a hash of the item's id."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // max(block_chars // 2, 1)))
-    for i in range(n if chars else 0):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        block = Block(sorted((r["item_id"], r["text"]) for r in part if r["item_id"] is not None))
+            counts, total = Counter(), 0
+            for text in _texts(batch, "text"):
+                words = words_of(text)
+                total += len(words)
+                counts.update(words if known is None else [w for w in words if w in known])
+            # The empty word and a space stand for all words and for documents.
+            yield pd.DataFrame({"word": [*counts, b"", b" "], "n": [*counts.values(), total, len(batch)]})
+
+    found = staged(docs.select(F.col(text_col).alias("text")).mapInPandas(count, _COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    sums = {bytes(r["word"]): r["n"] for r in found.where(F.hex("word").isin("", "20")).collect()}
+    return found.join(used, "word", "left_semi"), sums.get(b"", 0), sums.get(b" ", 0)
+
+
+def blocks_of(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> Iterator[tuple[Block, bool]]:
+    """(block with its seeds, whether it is the only one): the benchmark in blocks
+    of bounded size, by a hash of the item's id."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if not chars:
+        return
+    n = max(1, -(-chars // max(block_chars // 2, 1))) if chars > block_chars else 1
+    counts, words, rows = count_words(docs, items, text_col)
+    for i in range(n):
+        block = Block(sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()))
         if block.items:
-            yield block
+            own = docs.sparkSession.createDataFrame([(bytearray(w),) for w in block.vocabulary], "word binary")
+            by = {bytes(r["word"]): r["n"] for r in counts.join(own, "word", "left_semi").collect()}  # at most the block's words
+            block.choose_seeds(np.array([by.get(w, 0) for w in block.vocabulary], dtype=np.int64), words, rows)
+            yield block, n == 1
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with array column ``leaks`` of (item_id, score, start, end), in
-    words, for each item that aligns to the text with a score of ``least`` or
-    more.  Rows and columns are kept; null or empty texts and items, and items
-    with a null id, match nothing."""
-    out = docs.withColumn("leaks", F.lit(None).cast(_HITS))
-    columns: list[Column] = []
-    for block in blocks_of(benchmark, block_chars):
-        block.choose_seeds(*_count_words(docs, block))
-        columns.append(_leaks_udf(docs, block, least)(F.col("text")))
-    empty = F.array().cast(_HITS)
-    return out.withColumn("leaks", F.concat(*columns) if columns else empty)
-
-
-def _leaks_udf(docs: DataFrame, block: Block, least: float):
+def _hits(docs: DataFrame, key: str, text_col: str, block: Block, least: float) -> DataFrame:
+    """(key, item_id, score, start, end) of each item of a block in each text."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
+    kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here = sent.value
-        for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "score", "start", "end"), h, strict=True)) for h in here.hits(t, least)] for t in texts], dtype=object)
+        for batch in batches:
+            found = [(i, *h) for i, t in enumerate(_texts(batch, "text")) for h in here.hits(t, least)]
+            out = pd.DataFrame([f[1:] for f in found], columns=_HIT.names)
+            out.insert(0, "key", batch["key"].iloc[[f[0] for f in found]].to_numpy())
+            yield out
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, _HITS)
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _HIT)
+    return docs.select(F.col(key).alias("key"), F.col(text_col).alias("text")).mapInPandas(run, f"key {kind}, {rest}")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text_col: str = "text", least: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, item_id, score, start, end), in words, for each row of ``docs`` and
+    item that aligns to its text with a score of ``least`` or more."""
+    found = []
+    for block, only in blocks_of(docs, benchmark, block_chars, text_col):
+        hits = _hits(docs, key, text_col, block, least)
+        found.append(hits if only else staged(hits, "leaks"))
+    kind = docs.schema[key].dataType.simpleString()
+    empty = docs.sparkSession.createDataFrame([], f"key {kind}, item_id long, score double, start long, end long")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, block_chars: int = BLOCK_CHARS, out: str = "leaks") -> DataFrame:
+    """``docs`` with array column ``out`` of (item_id, score, start, end), in
+    words, for each item that aligns to the text with a score of ``least`` or
+    more.  Rows and columns are kept (where a column has that name, the new one
+    has underscores before it); null or empty texts and items, and items with a
+    null id, match nothing.
+
+    Rows are numbered in a written table; only those that hold an item come with
+    their number to the join.
+    """
+    row, out = free_name(docs, "_row"), free_name(docs, out)
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    by_row = leaks(numbered, benchmark, row, "text", least, block_chars).groupBy(F.col("key").alias(row)).agg(F.sort_array(F.collect_list(F.struct(*_HIT.names))).alias(out))
+    return numbered.join(by_row, row, "left").withColumn(out, F.coalesce(out, F.array().cast(T.ArrayType(_HIT)))).select(*docs.columns, out)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """One row per document row and item that it holds: doc_id, item_id, score,
     start, end.  Ties between places of an item go to the first; an empty table
-    on either side gives an empty result."""
-    marked = mark_leaks(docs.select("doc_id", "text"), benchmark, least)
-    return marked.where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
+    on either side gives an empty result; columns other than doc_id and text are
+    not read."""
+    return leaks(docs.select("doc_id", "text"), benchmark, "doc_id", "text", least).withColumnRenamed("key", "doc_id")

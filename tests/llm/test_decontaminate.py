@@ -74,3 +74,40 @@ def test_every_third_word_changed_still_holds_a_seed():
         words = text.split()
         words[2::3] = ["changed"] * len(words[2::3])
         assert i in {h[0] for h in block.hits(" ".join(words), MIN_SCORE)}
+
+
+def test_query_against_brute_force(spark):
+    """Every document aligned whole to every item, without seeds; documents far
+    beyond chance hold an item, others score what common words give."""
+    from sparkloom.llm.queries import op4_decontaminate
+
+    sf = "/root/testdata/sf0.001"
+    items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    numbers = {w: i for i, w in enumerate(sorted({w for ws in items.values() for w in ws}))}
+    coded = {k: np.array([numbers[w] for w in ws]) for k, ws in items.items()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([numbers.get(w, -1) for w in words_of(r.text)], dtype=np.int64)
+        for k, item in coded.items():
+            score = align(item, ids)[0]
+            if score >= MIN_SCORE:
+                want[r.doc_id, k] = score
+    got = {(r.doc_id, r.item_id): r.score for r in op4_decontaminate(spark, sf).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_large_benchmarks_are_counted_by_a_join(case, make_docs, spark, monkeypatch):
+    from sparkloom.llm import decontaminate
+
+    items, docs = case
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(find_leaks(make_docs(docs), bench).collect())
+    monkeypatch.setattr(decontaminate, "SENT_WORDS", 3)
+    assert sorted(find_leaks(make_docs(docs), bench).collect()) == want
+
+
+def test_clashing_names_stay(odd, spark, case):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    out = mark_leaks(odd, bench)
+    assert out.columns == [*odd.columns, "_leaks"] and {r.leaks for r in out.collect()} == {"x"}
+    assert sorted(str(r.doc_id) for r in out.where("size(_leaks) > 0").collect()) == ["3", "3"]
