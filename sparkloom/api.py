@@ -26,8 +26,10 @@ class CodeGraph:
 
     def __init__(self, spark: SparkSession, place: str, model: embed.Model = embed.hashing_model):
         self.spark, self.store, self.model = spark, Store(spark, place), model
-        self.nodes, self.edges = self.store.read("nodes"), self.store.read("edges")
-        self.root = self.store.meta()["path"]
+        meta = self.store.meta()
+        self.root = meta["path"]
+        stamped = F.when(F.col("kind") == "Repository", F.lit(meta["last_commit"])).otherwise(F.col("last_commit"))
+        self.nodes, self.edges = self.store.read("nodes").withColumn("last_commit", stamped), self.store.read("edges")
 
     # Derived tables, written beside the version they belong to.
 
@@ -116,13 +118,20 @@ class CodeGraph:
         return rows.orderBy("path", "start_row", "id").limit(20).select("id", "kind", "name", "path", "start_row", "end_row", "signature", "body")
 
     def read_code(self, file: str, start: int = 1, end: int | None = None) -> str:
-        """Numbered lines of a stored file's text on disk, at most 2,000."""
-        with open(file, encoding="utf-8", errors="replace") as f:
-            lines = f.read().split("\n")
-        end = min(end or len(lines), len(lines))
-        if end - start + 1 > 2000:
+        """Numbered lines of an indexed file, at most 2,000; other files are an
+        error.  The lines are counted and cut by an executor, so only what is shown
+        reaches the driver."""
+        if self.nodes.where((F.col("kind") == "File") & (F.col("path") == file)).isEmpty():
+            raise ValueError(f"{file} is no indexed file")
+        place = file if "://" in file else f"file://{file}"
+        text = self.spark.read.format("binaryFile").load(place).select(F.decode("content", "UTF-8").alias("text"))
+        lines = text.select(F.split("text", "\n", -1).alias("lines"))
+        first = max(start, 1)
+        last = F.least(F.size("lines"), F.lit(end if end else 1 << 30))
+        shown = lines.select((last - first + 1).alias("n"), F.slice("lines", first, F.greatest(F.least(last - first + 1, F.lit(2000)), F.lit(0))).alias("lines")).first()
+        if shown["n"] > 2000:
             raise ValueError("at most 2000 lines; give startLine and endLine")
-        return "\n".join(f"{i:>5} {lines[i - 1]}" for i in range(max(start, 1), end + 1))
+        return "\n".join(f"{first + i:>5} {line}" for i, line in enumerate(shown["lines"]))
 
     def _hop(self, starts: DataFrame, depth: int, limit: int, reverse: bool) -> DataFrame:
         hops = traverse.k_hop(self.calls(), starts.select("id"), depth, reverse)

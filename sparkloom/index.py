@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators import incremental
-from sparkloom.operators.extract import extract_symbols, parts_of
+from sparkloom.operators.extract import extract_symbols, failures, parts_of
 from sparkloom.operators.graph import dedupe_edges, dedupe_nodes
 from sparkloom.operators.resolve import resolve_calls, resolve_imports, resolve_types
 from sparkloom.schema import EDGE, NODE
 from sparkloom.sources import repo as source
 
 _PER_FILE = 1 << 24
-RAW = ("files", "raw_nodes", "raw_edges", "raw_imports", "raw_marks")
+RAW = ("files", "raw_nodes", "raw_edges", "raw_imports", "raw_marks", "raw_failures")
 
 
 @dataclass
@@ -36,9 +36,10 @@ class Raw:
     edges: DataFrame
     imports: DataFrame  # src, spec
     marks: DataFrame  # file, framework
+    failures: DataFrame  # file
 
     def tables(self) -> dict[str, DataFrame]:
-        return dict(zip(RAW, (self.files, self.nodes, self.edges, self.imports, self.marks), strict=True))
+        return dict(zip(RAW, (self.files, self.nodes, self.edges, self.imports, self.marks, self.failures), strict=True))
 
 
 def extract(scan: DataFrame, now: str) -> Raw:
@@ -47,7 +48,7 @@ def extract(scan: DataFrame, now: str) -> Raw:
 
     rows = staged(extract_symbols(scan), "symbols")
     nodes, edges, imports, marks = parts_of(rows)
-    return Raw(scan.select("path", "language", "hash", F.lit(now).alias("last_indexed")), nodes, edges, imports, marks)
+    return Raw(scan.select("path", "language", "hash", F.lit(now).alias("last_indexed")), nodes, edges, imports, marks, failures(rows))
 
 
 def changes(stored: Raw, scan: DataFrame) -> DataFrame:
@@ -67,6 +68,7 @@ def replaced(stored: Raw, delta: DataFrame, scan: DataFrame, now: str) -> Raw:
         stored.edges.withColumn("file", F.substring_index("src", "#", 1)).join(of, "file", "left_anti").select(*EDGE.names),
         stored.imports.join(of.withColumnRenamed("file", "src"), "src", "left_anti"),
         stored.marks.join(of, "file", "left_anti"),
+        stored.failures.join(of, "file", "left_anti"),
     )
     return Raw(*[a.unionByName(b) for a, b in zip(kept.tables().values(), fresh.tables().values(), strict=True)])
 
@@ -110,10 +112,9 @@ def resolve(raw: Raw, order: DataFrame, calls_by_name: bool = True) -> tuple[Dat
     return nodes, out.withColumn("id", edge_id)
 
 
-def file_nodes(spark: SparkSession, root: str, raw: Raw, ignore: tuple[str, ...] = (), commit: str | None = None, url: str | None = None) -> tuple[DataFrame, DataFrame]:
+def file_nodes(listed: DataFrame, root: str, raw: Raw, commit: str | None = None, url: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Repository, Folder and File nodes with test marks and hashes; CONTAINS."""
-    listed, held = source.containment(root, ignore)
-    rows = spark.createDataFrame(listed, "id string, kind string, name string, path string, language string")
+    rows, edges = source.containment(listed, root)
     facts = raw.files.select(F.concat(F.lit("file:"), "path").alias("id"), F.col("hash").alias("content_hash"), "last_indexed")
     marks = raw.marks.select(F.col("file").alias("id"), F.col("framework").alias("test_framework"), F.lit(True).alias("is_test"))
     full = rows.join(facts, "id", "left").join(marks, "id", "left")
@@ -121,7 +122,6 @@ def file_nodes(spark: SparkSession, root: str, raw: Raw, ignore: tuple[str, ...]
     full = full.withColumns({"last_commit": F.when(repo, F.lit(commit)), "source_url": F.when(repo, F.lit(url))})
     missing = [f for f in NODE.fields if f.name not in full.columns]
     nodes = full.select(*full.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]).select(*NODE.names)
-    edges = spark.createDataFrame([(f"CONTAINS:{a}->{b}", "CONTAINS", a, b) for a, b in held], "id string, kind string, src string, dst string")
     return nodes, edges
 
 
@@ -147,39 +147,69 @@ class Store:
         return self.spark.read.parquet(f"{self.place}/v{version or self.version()}/{table}")
 
     def write(self, tables: dict[str, DataFrame], meta: dict[str, str | None]) -> int:
-        """All tables of a new version, its meta row last."""
+        """All tables of a new version, its meta row last.  Ids of nodes are
+        unique; a version in which two rows share one is never finished."""
         n = self.version() + 1
         for name, df in tables.items():
             writer = df.write.mode("overwrite")
             (writer.partitionBy("kind") if name in ("nodes", "edges") else writer).parquet(f"{self.place}/v{n}/{name}")
-        schema = T.StructType([T.StructField(k, T.StringType()) for k in meta])
-        self.spark.createDataFrame([tuple(meta.values())], schema).write.mode("overwrite").parquet(f"{self.place}/v{n}/meta")
+        if "nodes" in tables:
+            twice = self.read("nodes", n).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").orderBy("id").first()
+            if twice:
+                raise ValueError(f"{twice['n']} nodes have the id {twice['id']}")
+        self._meta_row(meta).write.mode("overwrite").parquet(f"{self.place}/v{n}/meta")
         return n
 
+    def _meta_row(self, meta: dict[str, str | None]) -> DataFrame:
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in meta])
+        return self.spark.createDataFrame([tuple(meta.values())], schema)
+
     def meta(self) -> dict | None:
-        return self.read("meta").first().asDict() if self.version() else None
+        """The repository row: as written with the version, or as last restamped."""
+        n = self.version()
+        if not n:
+            return None
+        stamps = f"{self.place}/v{n}/stamps"
+        rows = self.spark.read.parquet(stamps).orderBy(F.desc("indexed_at")) if self._exists(stamps) else self.read("meta", n)
+        return rows.first().asDict()
+
+    def restamp(self, **changed: str | None) -> None:
+        """Record a run that found nothing to index."""
+        self._meta_row(self.meta() | changed).write.mode("append").parquet(f"{self.place}/v{self.version()}/stamps")
+
+    def clear(self) -> None:
+        """Delete every version and all that was derived from it."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.place)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _write(spark: SparkSession, root: str, store: Store, raw: Raw, ignore: tuple[str, ...], url: str | None, mode: str, now: str) -> int:
+def _write(root: str, store: Store, raw: Raw, listed: DataFrame, ordered: DataFrame, url: str | None, mode: str, now: str) -> int:
     from sparkloom.sources.shared import staged
 
     raw = Raw(*[staged(df, name) for name, df in raw.tables().items()])
-    _, files = source.walk(root, ignore)
-    order = spark.createDataFrame(list(enumerate(files)), "seq long, path string") if files else spark.createDataFrame([], "seq long, path string")
-    symbols, links = resolve(raw, order)
+    symbols, links = resolve(raw, ordered.select("path", "seq"))
     commit = source.head(root) if source.is_git(root) else None
-    top, held = file_nodes(spark, root, raw, ignore, commit, url)
+    top, held = file_nodes(listed, root, raw, commit, url)
     nodes = top.unionByName(symbols.select(*NODE.names))
     none = [F.lit(None).cast("string").alias(c) for c in ("unresolved", "symbol", "exported_name")]
     columns = ["id", "kind", "src", "dst", "unresolved", "symbol", "exported_name"]
     edges = links.select(*columns).unionByName(held.select("id", "kind", "src", "dst", *none))
-    meta = {"path": root, "last_commit": commit, "source_url": url, "indexed_at": now, "mode": mode}
+    meta = {"path": root, "last_commit": commit, "source_url": url, "indexed_at": now, "mode": mode, "failed": str(raw.failures.count())}
     return store.write({"nodes": nodes, "edges": edges, **raw.tables()}, meta)
 
 
 def full(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...] = (), url: str | None = None, now: str | None = None) -> int:
     now = now or datetime.now(UTC).isoformat()
-    return _write(spark, root, store, extract(source.scan(spark, root, ignore), now), ignore, url, "full", now)
+    listed, ordered = _listed(spark, root, ignore)
+    return _write(root, store, extract(source.scan(ordered), now), listed, ordered, url, "full", now)
+
+
+def _listed(spark: SparkSession, root: str, ignore: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """What lies below the root, listed once for a run, and its files in order."""
+    from sparkloom.sources.shared import staged
+
+    listed = source.listing(spark, root, ignore)
+    return listed, staged(source.walk_order(listed), "walk")
 
 
 def update(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...] = (), now: str | None = None) -> tuple[str, int]:
@@ -193,7 +223,8 @@ def update(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...]
     by_git = bool(since) and source.is_git(root) and source.is_ancestor(root, since)
     if by_git and source.head(root) == since and source.is_clean(root) and meta["mode"] != "dirty":
         return "current", 0
-    scan = source.scan(spark, root, ignore)
+    listed, ordered = _listed(spark, root, ignore)
+    scan = source.scan(ordered)
     stored = Raw(*[store.read(t) for t in RAW])
     # Hashes decide in either mode: git alone can't tell an edit from its undoing.
     delta = changes(stored, scan)
@@ -206,10 +237,12 @@ def update(spark: SparkSession, root: str, store: Store, ignore: tuple[str, ...]
         touched = delta.where("change_type <> 'deleted'").select("path")
         n, any_change = touched.count(), not delta.isEmpty()
         if not any_change:
+            dirty = by_git and not source.is_clean(root)
+            store.restamp(last_commit=source.head(root) if source.is_git(root) else None, indexed_at=now, mode="dirty" if dirty else meta["mode"] if meta["mode"] != "dirty" else "git")
             return "current", 0
         joined = replaced(stored, delta, scan, now)
         dirty = by_git and not source.is_clean(root)
-        _write(spark, root, store, joined, ignore, meta["source_url"], "dirty" if dirty else "git" if by_git else "hash", now)
+        _write(root, store, joined, listed, ordered, meta["source_url"], "dirty" if dirty else "git" if by_git else "hash", now)
     finally:
         delta.unpersist()
     return ("git" if by_git else "hash"), n

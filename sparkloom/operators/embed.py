@@ -37,8 +37,8 @@ def candidates(nodes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 
 def embed(rows: DataFrame, model: Model = hashing_model) -> DataFrame:
-    """(id, embedding) of rows (id, signature, body); a batch that the model
-    fails on gives null vectors, which a caller counts as skipped."""
+    """(id as text, embedding) of rows (id, signature, body); a batch that the
+    model fails on gives null vectors, which a caller counts as skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,5 +50,5 @@ def embed(rows: DataFrame, model: Model = hashing_model) -> DataFrame:
                     vectors = [None] * len(part)
                 yield pd.DataFrame({"id": part["id"], "embedding": vectors})
 
-    text = rows.select("id", embed_text(F.col("signature"), F.col("body")).alias("text"))
+    text = rows.select(F.col("id").cast("string").alias("id"), embed_text(F.col("signature"), F.col("body")).alias("text"))
     return text.mapInPandas(run, "id string, embedding array<float>")

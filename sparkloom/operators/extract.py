@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ _ROW = T.StructType(
     [T.StructField("what", T.StringType()), T.StructField("file", T.StringType()), T.StructField("file_seq", T.LongType()), T.StructField("local_seq", T.LongType()), T.StructField("spec", T.StringType()), T.StructField("framework", T.StringType())]
     + [T.StructField("node", NODE), T.StructField("edge", EDGE)]
 )
+#: Calls in each other that the parsers may make, some six a level of nesting.
+DEEPEST = 300_000
 #: Symbols a file may hold before its numbers would meet the next file's.
 _PER_FILE = 1 << 24
 
@@ -26,13 +29,15 @@ def extract_file(path: str, language: str, text: str):
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Frames of Python functions live on the heap: deep nesting is a matter of memory.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     none_node, none_edge = dict.fromkeys(NODE.names), dict.fromkeys(EDGE.names)
     for batch in batches:
         rows = []
         for path, language, text, seq in zip(batch["path"], batch["language"], batch["content"], batch["seq"], strict=True):
             try:
                 found = extract_file(path, language, text or "")
-            except (RecursionError, IndexError, ValueError):
+            except (RecursionError, MemoryError, IndexError, ValueError):
                 rows.append(("failed", f"file:{path}", seq, 0, None, None, None, None))
                 continue
             rows.append(("file", f"file:{path}", seq, 0, None, found.framework, None, None))
@@ -47,11 +52,16 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Tagged rows (node, edge, import, file, failed) of files (path, language,
-    content, seq).  A file that can't be read gives one failed row; null text is
-    an empty file."""
+    content, seq).  A file that can't be read gives one failed row (see
+    ``failures``); null text is an empty file."""
     return files.select("path", "language", "content", "seq").mapInPandas(_extract, _ROW)
 
 
+def failures(rows: DataFrame) -> DataFrame:
+    """(file,) of files whose symbols could not be read."""
+    return rows.where("what = 'failed'").select("file")
+
+
 def parts_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Nodes, edges, imports (src, spec) and test marks (file, framework)."""
     nodes = rows.where("what = 'node'").select("node.*")

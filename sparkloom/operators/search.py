@@ -40,16 +40,27 @@ class Query:
     clauses: list[Clause] = field(default_factory=list)
 
 
+_OPERATORS = ("AND", "OR", "NOT")
 _PART = re.compile(r'([+-]?)(?:([A-Za-z_]\w*):)?(?:"([^"]*)"|(\S+))')
 
 
 def parse_query(text: str) -> Query:
     """Words are alternatives; ``+word`` must, ``-word`` must not match;
-    ``"a phrase"``, ``pre*``, ``fuzzy~1`` and ``field:word`` do what they say."""
-    out = []
+    ``"a phrase"``, ``pre*``, ``fuzzy~1`` and ``field:word`` do what they say.
+    In capitals AND makes both its sides required and NOT excludes what follows;
+    OR is what holds anyway.  Small and, or, not without sign or field are stop
+    words."""
+    out: list[Clause] = []
+    before = ""
     for sign, where, phrase, word in _PART.findall(text):
         if not phrase and not word:
             continue
+        if not sign and not where and not phrase and word.upper() in _OPERATORS:
+            if word in _OPERATORS:
+                before = "NOT" if word == "NOT" else before if before == "NOT" else word
+                if word == "AND" and out and not out[-1].excluded:
+                    out[-1].required = True
+            continue
         clause = Clause([], field=where or None, required=sign == "+", excluded=sign == "-")
         fuzzy = re.fullmatch(r"(.+)~([0-2]?)", word) if word else None
         if phrase:
@@ -59,10 +70,13 @@ def parse_query(text: str) -> Query:
             clause.words, clause.kind, clause.edits = [fuzzy[1]], "fuzzy", int(fuzzy[2] or 2)
         elif word.endswith("*") and len(word) > 1:
             clause.words, clause.kind = [word[:-1]], "prefix"
-        elif word.upper() not in ("AND", "OR", "NOT"):
+        else:
             clause.words = [word]
         if clause.words:
+            clause.excluded = clause.excluded or before == "NOT" and not clause.required
+            clause.required = clause.required or before == "AND" and not clause.excluded
             out.append(clause)
+            before = ""
     return Query(out)
 
 
@@ -164,7 +178,10 @@ def fuse(legs: dict[str, DataFrame], limit: int = 10, k: int = 60, id_col: str =
 
 
 def hybrid(docs: DataFrame, query: str, embedded: list[float] | None, limit: int = 10, kind: str | None = None, fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, dict[str, str]]:
-    """Fused hits and the state of each leg: ``ok`` or why it gave nothing."""
+    """Fused hits and the state of each leg: ``ok`` or why it gave nothing.  Each
+    leg runs here, to its bounded top hits, so that one that fails at run time is
+    reported, too, and the other serves."""
+    spark = docs.sparkSession
     legs, state = {}, {}
     for name, make in (
         ("fts", lambda: full_text(docs, query, limit * 3, fields, kind)),
@@ -173,7 +190,8 @@ def hybrid(docs: DataFrame, query: str, embedded: list[float] | None, limit: int
         try:
             if name == "vector" and embedded is None:
                 raise ValueError("no query vector")
-            legs[name], state[name] = make(), "ok"
+            hits = make()
+            legs[name], state[name] = spark.createDataFrame(hits.collect(), hits.schema), "ok"
         except Exception as error:  # a leg that fails is reported, the other one serves
             state[name] = f"failed: {error}"
     if not legs:

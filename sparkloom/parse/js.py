@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from sparkloom.parse.lexer import Source
 from sparkloom.parse.rows import Rows, is_test_path
 
-VERBS = frozenset("all delete get head options patch post put use".split())
-TEST_CALLS = frozenset("bench describe fdescribe fit it suite test xdescribe xit xtest".split())
+# Router methods, functions of test suites, packages of test frameworks.
+VERBS = frozenset(("get", "post", "put", "delete", "patch", "head", "options", "use", "all"))
+TEST_CALLS = frozenset(("describe", "it", "test", "suite", "bench", "fdescribe", "fit", "xdescribe", "xit", "xtest"))
 FRAMEWORKS = {"@jest/globals": "jest", "bun:test": "bun", "jest": "jest", "mocha": "mocha", "vitest": "vitest"}
 EXPORTABLE = ("Class", "Enum", "Function", "Interface", "Method", "TypeAlias", "Variable")
 _CONTROL = frozenset("catch for if switch while with".split())
@@ -36,6 +37,7 @@ class Node:
 class Parser:
     def __init__(self, source: Source):
         self.s, self.t = source, source.tokens
+        self.unclosed: set[tuple[int, int]] = set()
 
     # Small helpers; positions are token numbers.
 
@@ -54,25 +56,31 @@ class Parser:
         return m + 1 if m > i else len(self.t)
 
     def generic(self, i: int, end: int) -> int:
-        """Past type arguments that open at i; i itself if these are none."""
-        depth, j = 0, i
+        """Past type arguments that open at i; i itself if these are none.  What
+        never closes before ``end`` is remembered, with all opened in it."""
+        if (i, end) in self.unclosed:
+            return i
+        open_, j = [], i
         while j < end:
             x = self.t[j]
             if x.kind == "op":
                 if x.text == "<":
-                    depth += 1
+                    if (j, end) in self.unclosed:
+                        break
+                    open_.append(j)
                 elif x.text in (">", ">=") or x.text.startswith(">>"):
-                    depth -= x.text.count(">")
-                    if depth <= 0:
+                    del open_[max(len(open_) - x.text.count(">"), 0) :]
+                    if not open_:
                         return j + 1
                 elif x.text in ("(", "[", "{"):
                     j = self.past(j)
                     continue
                 elif x.text not in (",", "|", "&", ".", "=>", "?", ":", "=", "...", "-", "+", "`"):
-                    return i
+                    break
             elif x.kind not in ("name", "string", "number", "template"):
-                return i
+                break
             j += 1
+        self.unclosed.update((k, end) for k in open_)
         return i
 
     def type_end(self, i: int, end: int, stops: tuple[str, ...]) -> int:

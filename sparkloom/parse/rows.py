@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from sparkloom.functions.text import TEST_PATHS
 from sparkloom.parse.lexer import Source
 from sparkloom.schema import edge_id
 
 BODY_LIMIT, KEPT_SHARE = 50_000, 0.8
-_TEST_PATH = re.compile(r"[.](spec|test)[.][a-z]+$|/__tests?__/|/(spec|tests?)/|_test[.](py|go)$|test_[^/]+[.]py$", re.I)
+_TEST_PATH = re.compile("|".join(TEST_PATHS), re.I)
 
 
 def is_test_path(path: str) -> bool:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
+from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import IGNORED, LANGUAGES, url_slug
+from sparkloom.functions.text import IGNORED, LANGUAGES, language, url_slug
+from sparkloom.operators.graph import numbered
+from sparkloom.sources.shared import staged
 
 _URL = re.compile(r"^(https?://|git@|ssh://)")
 _FILES = "path string, language string, hash string, content string, seq long"
@@ -47,61 +53,71 @@ def language_of(path: str) -> str | None:
     return LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if "." in os.path.basename(path) else None
 
 
-def walk(root: str, ignore: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """(folders, source files) in walk order: names sorted, depth first, without
-    ignored names and those that start with a dot.  Unlike Spark's own listing
-    it keeps names that start with an underscore."""
-    skip, folders, files = {*IGNORED, *ignore}, [], []
+_LISTED = "path string, parent string, is_dir boolean"
 
-    def down(folder: str) -> None:
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            if entry.name in skip or entry.name.startswith("."):
-                continue
-            if entry.is_dir(follow_symlinks=False):
-                folders.append(entry.path)
-                down(entry.path)
-            elif entry.is_file() and language_of(entry.path):
-                files.append(entry.path)
 
-    down(root)
-    return folders, files
-
-
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), content: bool = True) -> DataFrame:
-    """(path, language, hash, content, seq) of a checkout on a disk that all
-    executors mount.  The driver lists names; executors read and hash files."""
-    _, files = walk(root, ignore)
-    listed = spark.createDataFrame([(p, language_of(p), i) for i, p in enumerate(files)], "path string, language string, seq long")
-
-    def read(batches):
-        import hashlib
-
-        import pandas as pd
+def listing(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, parent, is_dir) of the folders and source files below ``root``,
+    without ignored names and those that start with a dot.  Folders are listed by
+    executors, which all mount the disk, level by level; each level is a written
+    table.  Unlike Spark's own listing it keeps names that start with an underscore.
+    """
+    skip = {*IGNORED, *ignore}
 
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                for entry in os.scandir(folder):
+                    if entry.name in skip or entry.name.startswith("."):
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        rows.append((entry.path, folder, True))
+                    elif entry.is_file() and language_of(entry.path):
+                        rows.append((entry.path, folder, False))
+                yield pd.DataFrame(rows, columns=["path", "parent", "is_dir"])
+
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    while not level.isEmpty():
+        found.append(staged(level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(below, _LISTED), "listing"))
+        level = found[-1].where("is_dir").select("path")
+    return reduce(DataFrame.unionByName, found)
+
+
+def walk_order(listed: DataFrame) -> DataFrame:
+    """(path, language, seq) of the source files in walk order: depth first, the
+    names in a folder sorted."""
+    files = listed.where("not is_dir").select("path", language(F.col("path")).alias("language"))
+    return numbered(files.withColumn("_names", F.split("path", "/")), F.col("_names"), name="seq").drop("_names")
+
+
+def scan(ordered: DataFrame, content: bool = True) -> DataFrame:
+    """(path, language, hash, content, seq) of files (path, language, seq) on a
+    disk that all executors mount; what can't be read has no hash."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, language, seq in zip(batch["path"], batch["language"], batch["seq"], strict=True):
+            for path, kind, seq in zip(batch["path"], batch["language"], batch["seq"], strict=True):
                 try:
                     raw = Path(path).read_bytes()
+                    row = (path, kind, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "replace") if content else None, seq)
                 except OSError:
-                    rows.append((path, language, None, None, seq))
-                    continue
-                rows.append((path, language, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "replace") if content else None, seq))
-            yield pd.DataFrame(rows, columns=["path", "language", "hash", "content", "seq"])
+                    row = (path, kind, None, None, seq)
+                yield pd.DataFrame([row], columns=["path", "language", "hash", "content", "seq"])
 
-    return listed.mapInPandas(read, _FILES)
+    return ordered.mapInPandas(read, _FILES)
 
 
-def containment(root: str, ignore: tuple[str, ...] = ()) -> tuple[list[tuple], list[tuple]]:
+def containment(listed: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """Repository, Folder and File nodes (id, kind, name, path, language) and
-    CONTAINS edges (src, dst); folders without source files stay."""
-    folders, files = walk(root, ignore)
-    nodes = [(f"repo:{root}", "Repository", os.path.basename(root), root, None)]
-    nodes += [(f"folder:{p}", "Folder", os.path.basename(p), p, None) for p in folders]
-    nodes += [(f"file:{p}", "File", os.path.basename(p), p, language_of(p)) for p in files]
-    up = lambda p: f"repo:{root}" if os.path.dirname(p) == root else f"folder:{os.path.dirname(p)}"
-    edges = [(up(p), f"folder:{p}") for p in folders] + [(up(p), f"file:{p}") for p in files]
-    return nodes, edges
+    CONTAINS edges (id, kind, src, dst); folders without source files stay."""
+    path, kind = F.col("path"), F.when(F.col("is_dir"), "Folder").otherwise("File")
+    id = F.concat(F.when(F.col("is_dir"), "folder:").otherwise("file:"), path)
+    own = listed.sparkSession.createDataFrame([(f"repo:{root}", "Repository", os.path.basename(root), root, None)], "id string, kind string, name string, path string, language string")
+    nodes = listed.select(id.alias("id"), kind.alias("kind"), F.substring_index(path, "/", -1).alias("name"), "path", F.when(~F.col("is_dir"), language(path)).alias("language"))
+    up = F.when(F.col("parent") == root, F.lit(f"repo:{root}")).otherwise(F.concat(F.lit("folder:"), "parent"))
+    edges = listed.select(F.concat(F.lit("CONTAINS:"), up, F.lit("->"), id).alias("id"), F.lit("CONTAINS").alias("kind"), up.alias("src"), id.alias("dst"))
+    return own.unionByName(nodes), edges
 
 
 # Git.

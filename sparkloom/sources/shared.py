@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is unset (one machine,
-    as in tests) a temporary folder that is then set."""
+    """``spark.checkpoint.dir`` of the session.  Where that is unset, one process
+    on one machine (tests) gets a temporary folder; on a cluster it is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         place = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

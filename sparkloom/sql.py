@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,14 +20,23 @@ class NotReadOnly(ValueError):
     pass
 
 
-def check(spark: SparkSession, sql: str) -> None:
-    """Raise unless the statement parses to query nodes alone.  An allow-list:
-    some statements that write are no ``Command`` in Spark's parser."""
+def check(spark: SparkSession, sql: str, views: Iterable[str] = ()) -> None:
+    """Raise unless the statement parses to query nodes alone, over the named
+    views and its own common table expressions.  An allow-list: some statements
+    that write are no ``Command`` in Spark's parser, and a table name may be a
+    file (``text.`/a/path```)."""
+    known = {v.lower() for v in views}
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    stack = [plan]
+    stack, used = [plan], []
     while stack:
         node = stack.pop()
         name = node.nodeName()
+        if name.strip("'") == "UnresolvedRelation":
+            used.append([node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())])
+        elif name.strip("'") == "UnresolvedWith":
+            own = node.cteRelations()
+            known |= {own.apply(i)._1().lower() for i in range(own.size())}
+            stack += [own.apply(i)._2() for i in range(own.size())]
         if name.strip("'") not in _ALLOWED:
             raise NotReadOnly(f"{name} is not allowed in a read-only query")
         for many in (node.children(), node.innerChildren(), node.subqueries()):
@@ -34,6 +44,9 @@ def check(spark: SparkSession, sql: str) -> None:
                 child = many.apply(i)
                 if hasattr(child, "innerChildren"):
                     stack.append(child)
+    for parts in used:
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise NotReadOnly(f"{'.'.join(parts)} is none of the views {sorted(known)}")
     if _CALLS_OUT.search(sql):
         raise NotReadOnly("calls into the JVM are not allowed")
 
@@ -42,7 +55,7 @@ def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], limit: int
     """(rows up to the limit, all rows) of a read-only query over named views."""
     if not 1 <= limit <= 200:
         raise ValueError("limit is 1 to 200")
-    check(spark, sql)
+    check(spark, sql, views)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     out = spark.sql(sql, args=args or {})

@@ -1,13 +1,17 @@
 """Rules that no SQL states: extraction, resolution, communities, search, deltas."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.operators import analytics, embed, graph, incremental, resolve, search, traverse
 from sparkloom.operators.extract import extract_file
+from sparkloom.parse import rows
 from sparkloom.sources import repo
 
 
@@ -84,6 +88,18 @@ def test_java():
     assert {"unresolved:callable:Z", "unresolved:callable:run"} <= {d for k, _, d in edges if k == "CALLS"}
 
 
+def test_unclosed_type_arguments_take_time_in_proportion():
+    began = time.process_time()
+    extract_file("/r/a.ts", "typescript", "a <" * 20_000)
+    extract_file("/r/a.ts", "typescript", "f(a < b, c < d);\n" * 3000)
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("path, test", [("/r/a.test.ts", True), ("C:\\r\\tests\\a.ts", True), ("C:\\r\\__tests__\\a.ts", True), ("/r/spec/a.js", True), ("/r/__test__/a.js", True), ("x_test.go", True), ("/r/test_a.py", True), ("/r/testing/a.ts", False), ("/r/contest.ts", False)])
+def test_test_paths(spark, path, test):
+    assert rows.is_test_path(path) == test == spark.range(1).select(text.is_test_path(F.lit(path))).first()[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab(){}[]<>=;:,.'\"`/*\\\n $classfunctionimport", max_size=80))
 def test_no_text_breaks_the_extractors(text):
@@ -210,6 +226,24 @@ def test_query_syntax():
     ]
 
 
+def test_capital_operators():
+    def parsed(text):
+        return [(c.words[0], c.required, c.excluded) for c in search.parse_query(text).clauses]
+
+    assert parsed("a NOT b") == [("a", False, False), ("b", False, True)]
+    assert parsed("a AND b OR c") == [("a", True, False), ("b", True, False), ("c", False, False)]
+    assert parsed("a AND NOT b") == [("a", True, False), ("b", False, True)]
+    assert parsed("-not +or name:not -NOT") == [("not", False, True), ("or", True, False), ("not", False, False), ("NOT", False, True)]
+
+
+def test_not_excludes_and_legs_fail_alone(spark):
+    docs = spark.createDataFrame([(1, "a b", [1.0, 0.0]), (2, "a", [0.0, 1.0])], "id long, text string, embedding array<double>")
+    assert [r.id for r in search.full_text(docs, "a NOT b").collect()] == [2]
+    broken = docs.withColumn("embedding", F.transform("embedding", lambda x: F.raise_error(F.lit("no vector")).cast("double")))
+    hits, state = search.hybrid(broken, "a", [1.0, 0.0], fields=("text",))
+    assert state["fts"] == "ok" and state["vector"].startswith("failed") and {r.id for r in hits.collect()} == {1, 2}
+
+
 def test_ranks_fuse_alike_from_either_side(spark):
     a = spark.createDataFrame([(1, 9.0), (2, 8.0), (3, 7.0)], "id long, score double")
     b = spark.createDataFrame([(3, 0.9), (4, 0.8)], "id long, score double")
