@@ -11,6 +11,8 @@ from sparkloom import sql as readonly
 from sparkloom.functions.text import first_line, relative_path
 from sparkloom.index import Store
 from sparkloom.operators import analytics, embed, graph, impact, overview, search, traverse
+from sparkloom.operators.postings import SearchIndex
+from sparkloom.sources.shared import staged
 
 SYMBOLS = ("Function", "Method", "Class", "Interface", "TypeAlias", "Enum", "Variable")
 
@@ -87,6 +89,17 @@ class CodeGraph:
             self._save("vectors", good, "append")
         return {"embedded": n, "skipped": made.count() - n}
 
+    def _searched(self) -> DataFrame:
+        return self.nodes.where(F.col("kind").isin(*SYMBOLS, "File")).select("id", "kind", *search.FIELDS)
+
+    def _index(self) -> SearchIndex | None:
+        place = f"{self.store.place}/v{self.store.version()}/search"
+        return SearchIndex(self.spark, place) if self.store._exists(f"{place}/stats/_SUCCESS") else None
+
+    def index_text(self) -> None:
+        """Store the full-text index of this version; searches then read it."""
+        SearchIndex.build(self._searched(), f"{self.store.place}/v{self.store.version()}/search", search.FIELDS)
+
     # T1 to T10.
 
     def search_code(self, query: str, mode: str | None = None, kind: str | None = None, limit: int = 10) -> DataFrame:
@@ -95,9 +108,14 @@ class CodeGraph:
         _between("limit", limit, 1, 50)
         vectors = self._extra("vectors")
         mode = mode or ("hybrid" if vectors is not None else "fts")
-        docs = self.nodes.where(F.col("kind").isin(*SYMBOLS, "File")).select("id", "kind", *search.FIELDS)
+        docs = self._searched()
+        stored = self._index()
+
+        def fts(n: int) -> DataFrame:
+            return stored.search(query, n, kind) if stored else search.full_text(docs, query, n, search.FIELDS, kind)
+
         if mode == "fts":
-            hits = search.full_text(docs, query, limit, search.FIELDS, kind).withColumn("matched_by", F.array(F.lit("fts")))
+            hits = fts(limit).withColumn("matched_by", F.array(F.lit("fts")))
         else:
             if vectors is None:
                 raise ValueError("no vectors are stored; run embed first")
@@ -106,7 +124,7 @@ class CodeGraph:
             if mode == "vector":
                 hits = search.vector(rows, asked, limit, kind).withColumn("matched_by", F.array(F.lit("vector")))
             else:
-                hits, self.leg_state = search.hybrid(rows, query, asked, limit, kind)
+                hits, self.leg_state = search.hybrid(rows, query, asked, limit, kind, fts=fts)
         return search.with_details(hits, self.nodes)
 
     def get_definition(self, name: str, file: str | None = None, kind: str | None = None) -> DataFrame:
@@ -167,11 +185,34 @@ class CodeGraph:
         facts = self.nodes.where(F.col("kind").isin("Function", "Method", "Class", "Variable")).select("id", "path").join(by_path, "path").drop("path")
         facts = facts.withColumn("community", F.col("community").cast("string"))
         own = self.spark.createDataFrame([(found["id"],)], "id string")
-        row = impact.analyse(self.calls(), facts, own, depth).first().asDict()
-        callers = impact.with_files(impact.callers_of(self.calls(), own, depth), facts)
-        cap = impact.truncation_cap(callers).first()["cap"]
+        callers = staged(impact.with_files(impact.callers_of(self.calls(), own, depth), facts), "callers")
+        row = impact.assess(callers, facts, own).first().asDict()
+        home = target.join(by_path.select("path", "community"), "path", "left").first()["community"]
+        labels = self.labels().select(F.col("community").cast("string").alias("community"), "label")
+        named = self.nodes.select(F.col("id").alias("node"), "name", "path", "start_row")
+        known = callers.join(named, "node", "left").join(labels, "community", "left")
+        known = staged(known.withColumn("label", F.coalesce("label", F.concat(F.lit("community-"), F.coalesce("community", F.lit("-1"))))), "named-callers")
+        direct, test = F.col("distance") == 1, F.coalesce("is_test", F.lit(False))
+        production = known.where(direct & ~test)
+        cap = impact.truncation_cap(production).first()["cap"]
+        sizes = known.groupBy("community", "label").agg(F.count("*").alias("callers"), F.count_if(direct & ~test).alias("direct"))
         note = None if found["kind"] in ("Function", "Method") else "no call edges exist for this kind"
-        return {"found": True, "id": found["id"], **row, "note": note, "cap": cap, "callers": impact.truncated(callers, cap)}
+        return {
+            "found": True,
+            "id": found["id"],
+            **row,
+            "note": note,
+            "cap": cap,
+            "name": symbol,
+            "path": found["path"],
+            "depth": depth,
+            "home": None if home is None else str(home),
+            "callers": impact.truncated(callers, cap),
+            "spine": production.where(F.coalesce("is_core", F.lit(False))).orderBy("path", "node"),
+            "tests": known.where(direct & test).groupBy("path").agg(F.count("*").alias("calls")).orderBy("path"),
+            "production": impact.truncated(production, cap),
+            "communities": sizes.orderBy(F.desc("callers"), "community"),
+        }
 
     def get_overview(self) -> dict[str, DataFrame]:
         files = self.files()
@@ -216,20 +257,27 @@ class CodeGraph:
         symbols = self.nodes.where("kind in ('Function', 'Method')").select("id", "name", "path", first_line(F.col("signature"), 100).alias("signature")).join(files.select("path", "community"), "path", "left")
         outside = self.edges.where("kind = 'IMPORTS' and unresolved is not null").select("src", F.col("unresolved").alias("symbol"))
         entries = traverse.entry_points(files, self.imports())
+        shown = staged(overview.communities_with_spine(clustered).limit(max_communities).select("community", "size"), "wiki-communities")
+        ids, relative = shown.select("community"), lambda c: relative_path(F.col(c), self.root).alias(c)
+        heuristic = self._extra("communities")
+        guess = heuristic.select("community", F.col("label").alias("guess")) if heuristic is not None else ids.withColumn("guess", F.lit(None).cast("string")).limit(0)
+        titles = ids.join(self.labels().select("community", "label", "description"), "community", "left").join(guess, "community", "left").join(self._freshness(), "community", "left")
+        called = overview.callers_per(symbols.where("community is not null"), self.calls()).where("callers > 0").join(ids, "community", "left_semi")
+        outer = overview.external_deps(clustered, outside).join(ids, "community", "left_semi")
         return {
             "repository": self.nodes.where("kind = 'Repository'").limit(1),
             "kinds": graph.kind_counts(self.nodes),
             "languages": graph.kind_counts(self.nodes.where("kind = 'File'"), "language"),
-            "communities": overview.communities_with_spine(clustered).limit(max_communities),
-            "spine": files.where("is_core").orderBy(F.desc("pagerank"), "id"),
-            "functions": overview.top_functions(symbols.where("community is not null"), self.calls()),
+            "communities": shown.join(titles, "community").orderBy(F.desc("size"), "community"),
+            "spine": overview.capped(clustered.where("is_core").join(ids, "community", "left_semi"), 5, F.desc("pagerank"), F.col("id")).select("community", "place", "name", relative("path")),
+            "functions": overview.capped(called, 5, F.desc("callers"), F.col("id")).select("community", "place", "name", "signature", relative("path"), "callers"),
             "cross": overview.cross_community(clustered, self.imports()).limit(15),
             "routes": overview.routes(self.nodes),
             "entries": entries.select("id", relative_path(F.col("path"), self.root).alias("path")).orderBy("path").limit(20),
             "test_frameworks": overview.test_frameworks(files),
             "tests": overview.tests(files),
             "glossary": overview.glossary(symbols, self.calls(), glossary) if glossary else overview.glossary(symbols, self.calls(), 1).limit(0),
-            "externals": overview.external_deps(clustered, outside),
+            "externals": overview.capped(outer, 8, F.desc("n"), F.col("symbol")).select("community", "place", "symbol", "n"),
             "coverage": overview.coverage(files),
             "orphans": overview.orphans(files).orderBy("path"),
         }

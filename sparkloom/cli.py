@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 
@@ -70,10 +71,13 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("--ignore", action="append", default=[])
         q.add_argument("--cluster", action="store_true")
         q.add_argument("--embed", action="store_true")
-        q.add_argument("--json", help="write nodes and edges as JSON to this folder")
+        q.add_argument("--json", help="write nodes and edges as JSON lines to this folder of any store")
+        q.add_argument("--out", help="write one JSON document to this local file, - for standard output")
+        q.add_argument("--pretty", action="store_true", help="indent the JSON document")
         q.add_argument("--stats", action="store_true")
     for name in ("cluster", "clear", "embed", "serve"):
         sub.add_parser(name)
+    sub.choices["clear"].add_argument("--all", action="store_true", help="the whole store, not the communities alone")
     q = sub.add_parser("tool")
     q.add_argument("name", choices=TOOLS)
     q.add_argument("arguments", nargs="?", default="{}", help="JSON")
@@ -90,11 +94,18 @@ def main(argv: list[str] | None = None) -> int:
             mode, n = index.update(spark, root, store, tuple(a.ignore))
             print("already up to date" if mode == "current" else f"{mode} delta: {n} files extracted", file=sys.stderr)
         graph = CodeGraph(spark, a.store)
+        graph.index_text()
         if a.stats:
             print(render.table(graph.get_overview()["kinds"]), file=sys.stderr)
         if a.json:
             graph.nodes.write.mode("overwrite").json(f"{a.json}/nodes")
             graph.edges.write.mode("overwrite").json(f"{a.json}/edges")
+        if a.out:
+            with contextlib.nullcontext(sys.stdout) if a.out == "-" else open(a.out, "w", encoding="utf-8") as f:
+                render.document({"nodes": graph.nodes, "edges": graph.edges}, f, a.pretty)
+        failed = int(graph.store.meta()["failed"])
+        if failed:
+            print(f"{failed} files could not be read; see the table raw_failures", file=sys.stderr)
         if a.cluster:
             print(render.table(graph.cluster()))
         if a.embed:
@@ -104,7 +115,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "cluster":
         print(render.table(graph.cluster()))
     elif a.command == "clear":
-        graph.clear_clusters()
+        graph.store.clear() if a.all else graph.clear_clusters()
     elif a.command == "embed":
         print(graph.embed())
     elif a.command == "serve":

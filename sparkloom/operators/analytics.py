@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,6 +59,28 @@ def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 10) -> D
     return labels
 
 
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): the least id that links in both directions lead to; each
+    round takes the least of the neighbours' and is a written table."""
+    found = staged(nodes.select("id", F.col("id").alias("component")).distinct(), "components")
+    while True:
+        near = links.join(found.toDF("src", "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
+        next_ = staged(found.join(near, "id", "left").select("id", F.least("component", "near").alias("component")), "components")
+        if next_.join(found.toDF("id", "was"), "id").where("component <> was").isEmpty():
+            return next_
+        found = next_
+
+
+def modularity(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(modularity,) of communities (id, community) over links in both directions:
+    the share of links inside communities less what their degrees let expect."""
+    of = members.select("id", "community")
+    both = links.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst")
+    mass = both.groupBy("a").agg(F.count("*").alias("d"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("inside"))
+    whole = mass.agg(F.sum("d").cast("double").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("d").cast("double") * F.col("d")).alias("squares"))
+    return whole.select((F.col("inside") / F.col("m") - F.col("squares") / (F.col("m") * F.col("m"))).alias("modularity"))
+
+
 def leiden(nodes: DataFrame, links: DataFrame, seed: int = 42, limit: int = LOCAL_EDGES) -> DataFrame:
     """(id, community number) by Leiden: local moving, refinement, aggregation.
 
@@ -181,11 +203,11 @@ def _move(graph, degree, total, rng, start=None) -> dict:
     mass: dict = defaultdict(float)
     for n, c in part.items():
         mass[c] += degree[n]
-    queue = sorted(graph)
-    rng.shuffle(queue)
-    waiting = set(queue)
+    order = sorted(graph)
+    rng.shuffle(order)
+    queue, waiting = deque(order), set(order)
     while queue:
-        n = queue.pop(0)
+        n = queue.popleft()
         waiting.discard(n)
         own, near = part[n], defaultdict(float)
         for m, w in graph[n].items():

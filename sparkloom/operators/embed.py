@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,13 +21,14 @@ def embed_text(signature: Column, body: Column) -> Column:
 
 
 def hashing_model(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """Word parts hashed to signed components, scaled to length 1; needs no file."""
-    out = np.zeros((len(texts), dim), np.float32)
+    """Word parts hashed (the first 32 bits of MD5, spread evenly in any engine) to
+    signed components, scaled to length 1; needs no file."""
+    out = np.zeros((len(texts), dim))
     for row, text in zip(out, texts, strict=True):
         for part in _PART.findall(text):
-            h = zlib.crc32(part.lower().encode())
+            h = int.from_bytes(hashlib.md5(part.lower().encode(), usedforsecurity=False).digest()[:4], "big")
             row[h % dim] += 1 if h >> 31 else -1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def candidates(nodes: DataFrame, stored: DataFrame | None = None) -> DataFrame:

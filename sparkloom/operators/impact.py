@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.traverse import k_hop
+from sparkloom.sources.shared import staged
 
 CAPS, BUDGET = (10, 5, 3, 1), 80
 
@@ -77,7 +78,11 @@ def truncated(callers: DataFrame, cap: int) -> DataFrame:
 
 def analyse(calls: DataFrame, facts: DataFrame, target: DataFrame, depth: int = 3) -> DataFrame:
     """One row for the target (id): counts, other communities, risk, verdict."""
-    callers = with_files(callers_of(calls, target, depth), facts)
+    return assess(staged(with_files(callers_of(calls, target, depth), facts), "callers"), facts, target)
+
+
+def assess(callers: DataFrame, facts: DataFrame, target: DataFrame) -> DataFrame:
+    """``analyse`` of callers that are known, with the facts of their files."""
     own = facts.join(target.select("id"), "id", "left_semi").select(F.col("community").alias("own"), F.col("is_core").alias("core"), F.coalesce("boundary", F.lit(0)).alias("boundary"))
     counts = split(callers)
     here = own.agg(F.first("own").alias("own"), F.first("core").alias("is_core"), F.first("boundary").alias("boundary")).withColumn("one", F.lit(1))

@@ -16,6 +16,13 @@ def first_paths(files: DataFrame, k: int, name: str, *order: Column) -> DataFram
     return few.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("few")).select("community", F.col("few.path").alias(name))
 
 
+def capped(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of each community in an order, with their place; limited
+    before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("community").orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= k).orderBy("community", "place")
+
+
 def overview_communities(files: DataFrame, top: int = 12, spine: int = 6, sample: int = 3) -> DataFrame:
     """The largest communities: size, most central spine paths, sample paths."""
     sizes = files.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(top)

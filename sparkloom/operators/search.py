@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -177,14 +178,15 @@ def fuse(legs: dict[str, DataFrame], limit: int = 10, k: int = 60, id_col: str =
     return both.groupBy(id_col).agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("leg")).alias("matched_by")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def hybrid(docs: DataFrame, query: str, embedded: list[float] | None, limit: int = 10, kind: str | None = None, fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, dict[str, str]]:
+def hybrid(docs: DataFrame, query: str, embedded: list[float] | None, limit: int = 10, kind: str | None = None, fields: tuple[str, ...] = FIELDS, fts: Callable[[int], DataFrame] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Fused hits and the state of each leg: ``ok`` or why it gave nothing.  Each
     leg runs here, to its bounded top hits, so that one that fails at run time is
-    reported, too, and the other serves."""
+    reported, too, and the other serves.  ``fts`` gives the keyword leg's top hits
+    from a stored index."""
     spark = docs.sparkSession
     legs, state = {}, {}
     for name, make in (
-        ("fts", lambda: full_text(docs, query, limit * 3, fields, kind)),
+        ("fts", lambda: fts(limit * 3) if fts else full_text(docs, query, limit * 3, fields, kind)),
         ("vector", lambda: vector(docs, embedded, limit * 3, kind)),
     ):
         try:

@@ -14,18 +14,37 @@ MAX_DEPTH = 5
 
 def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
     """(start, node, distance), distinct, for trails of 1 to ``depth`` edges that
-    end (reverse) or begin (forward) at a start id.  No trail repeats an edge,
-    so edges are kept by a hash along each trail.  Steps are joins on the node,
-    starting from the few start ids; the edge table is read, never copied."""
+    end (reverse) or begin (forward) at a start id.  No trail repeats an edge.
+
+    First plain steps, one row a node and round, find the edges within reach;
+    they are written, and all else runs over them.  An edge can only be repeated
+    if it lies on a cycle, and rounds of peeling leave those that may; only these
+    are kept by a hash along a trail, so trails that differ in others are one row.
+    """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth is 1 to {MAX_DEPTH}")
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next"), F.xxhash64("src", "dst").alias("edge")).distinct()
+    every = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    front, seen = starts.select(F.col("id").alias("node")).distinct(), []
+    for _ in range(depth - 1):
+        seen.append(front)
+        front = front.join(every, "node").select(F.col("next").alias("node")).distinct()
+    met = reduce(DataFrame.unionByName, [*seen, front]).distinct()
+    reach = staged(every.join(met, "node", "left_semi"), "reach")
+    cyclic = reach
+    for _ in range(depth if depth > 1 else 0):
+        cyclic = cyclic.join(cyclic.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", "next")
+        cyclic = cyclic.join(cyclic.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next")
+        cyclic = staged(cyclic, "cyclic")
+        if cyclic.isEmpty():
+            break
+    steps = reach.join(cyclic.withColumn("edge", F.xxhash64("node", "next")), ["node", "next"], "left")
     trail = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array().cast("array<bigint>").alias("used")).distinct()
     out = []
     for distance in range(1, depth + 1):
-        trail = trail.join(steps, "node").where(~F.array_contains("used", F.col("edge")))
-        trail = trail.select("start", F.col("next").alias("node"), F.array_sort(F.concat("used", F.array("edge"))).alias("used")).distinct()
+        trail = trail.join(steps, "node").where(F.col("edge").isNull() | ~F.array_contains("used", F.col("edge")))
+        used = F.when(F.col("edge").isNull(), F.col("used")).otherwise(F.array_sort(F.concat("used", F.array("edge"))))
+        trail = trail.select("start", F.col("next").alias("node"), used.alias("used")).distinct()
         out.append(trail.select("start", "node", F.lit(distance).alias("distance")))
     return reduce(DataFrame.unionByName, out).distinct()
 

@@ -6,6 +6,7 @@ the rest is passed over.  ``extract`` then walks the tree in source order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from sparkloom.parse.lexer import Source
@@ -38,6 +39,8 @@ class Parser:
     def __init__(self, source: Source):
         self.s, self.t = source, source.tokens
         self.unclosed: set[tuple[int, int]] = set()
+        #: Templates and elements, whose tokens hold others.
+        self.wide = [i for i, x in enumerate(self.t) if x.kind in ("template", "jsx")]
 
     # Small helpers; positions are token numbers.
 
@@ -55,6 +58,11 @@ class Parser:
         m = self.t[i].match
         return m + 1 if m > i else len(self.t)
 
+    def end_of(self, i: int, j: int) -> int:
+        """Where the text of the tokens i to j - 1 ends."""
+        ends = [self.t[k].end for k in self.wide[bisect_left(self.wide, i) : bisect_left(self.wide, j)]]
+        return max([self.t[j - 1].end, *ends])
+
     def generic(self, i: int, end: int) -> int:
         """Past type arguments that open at i; i itself if these are none.  What
         never closes before ``end`` is remembered, with all opened in it."""
@@ -285,7 +293,7 @@ class Parser:
                     declarator.more["value"] = values[0][1]
                 elif len(values) == 1 and self.text(j) in ("await", "new"):
                     pass
-                declarator.end = self.t[min(stop, end) - 1].end
+                declarator.end = self.end_of(first, min(stop, end))
                 j = stop
             elif self.text(j) in ("of", "in"):
                 node.children.append(declarator)
@@ -439,7 +447,7 @@ class Parser:
                         node.children.append(value)
                     stop = max(k, stop + 1)
                 j = stop
-            node.end = self.t[min(j, end) - 1].end
+            node.end = self.end_of(first, min(j, end))
             out.append(node)
             i = max(j, i + 1)
         return out
@@ -478,7 +486,7 @@ class Parser:
             if value is not None:
                 values.append(value)
             stop = max(m, stop + 1)
-        node.body, node.end = self.t[k].start, self.t[stop - 1].end
+        node.body, node.end = self.t[k].start, self.end_of(k, stop)
         node.more["value"] = values
         return node, stop
 
@@ -551,7 +559,7 @@ class Parser:
             break
         if last is not None and callee == "call":
             return last, j
-        return (Node("group", x.start, self.t[j - 1].end, children=children) if children else None), j
+        return (Node("group", x.start, self.end_of(i, j), children=children) if children else None), j
 
     def new(self, i: int, end: int) -> tuple[Node, int]:
         j = i + 1

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import index
-from sparkloom.operators import analytics, embed, extract
+from sparkloom.operators import analytics, embed, extract, resolve
 from sparkloom.plans.views import edges, parts, read
-from sparkloom.sources.shared import new_place
+from sparkloom.sources.shared import new_place, staged
 from sparkloom.streaming import feed
 
 QUERIES: dict = {}
@@ -76,7 +76,110 @@ FOUND = {
         ("import", "file:{p}", "IMPORTS", "a.b.C{n}"),
     ],
 }
+#: Shapes beyond the plain ones: (id, kind, name, signature, body, method, route,
+#: router, builder) of each node, by hand, with ``~`` for null.
+TSX2 = """import { it } from "vitest";
+export * from "./r{n}";
+export { a{k} as b{k} } from "./s{n}";
+export interface I{k} { x: number }
+type T{k} = { y: string };
+enum E{k} { A, B }
+class D{k} implements I{k}, J{n} {
+  size{k} = 1;
+  go{k}(): void { load{n}(); }
+}
+const view{k} = () => <div>{show{k}()}</div>;
+const lazy{k} = async () => { await import("./z{n}"); };
+"""
+JS2 = """import { test } from "bun:test";
+const app{k} = new Router(1);
+app{k}.post("/p/{k}", (a) => auth{k}(a), (b) => save{n}(b));
+test("t{k}", () => { check{n}(); });
+function long{k}() {
+""" + "  fill{n}();\n" * 5000 + "}\n"
+JAVA2 = """package q;
+import org.junit.Test;
+public class O{k} {
+  interface In{k} { void a(); }
+  static class Inner{k} extends O{n} {
+    void deep{k}() { new Z{n}().run{k}(); }
+  }
+  @Test public void t{k}() { ok{k}(); }
+}
+"""
+NODES2 = {
+    "tsx": [
+        ("interface:I{k}", "Interface", "I{k}", "interface I{k}", "interface I{k} { x: number }", "~", "~", "~", "~"),
+        ("type:T{k}", "TypeAlias", "T{k}", "type T{k} = { y: string }", "type T{k} = { y: string }", "~", "~", "~", "~"),
+        ("enum:E{k}", "Enum", "E{k}", "enum E{k}", "enum E{k} { A, B }", "~", "~", "~", "~"),
+        ("class:D{k}", "Class", "D{k}", "class D{k} implements I{k}, J{n}", "class D{k} implements I{k}, J{n} {\n  size{k} = 1;\n  go{k}(): void { load{n}(); }\n}", "~", "~", "~", "~"),
+        ("class:D{k}.prop:size{k}", "Property", "size{k}", "size{k} = 1", "size{k} = 1", "~", "~", "~", "~"),
+        ("class:D{k}.method:go{k}@8", "Method", "go{k}", "go{k}(): void", "go{k}(): void { load{n}(); }", "~", "~", "~", "~"),
+        ("fn:view{k}@10", "Function", "view{k}", "view{k} = () => <div>{show{k}()}</div>", "view{k} = () => <div>{show{k}()}</div>", "~", "~", "~", "~"),
+        ("fn:lazy{k}@11", "Function", "lazy{k}", 'lazy{k} = async () => { await import("./z{n}"); }', 'lazy{k} = async () => { await import("./z{n}"); }', "~", "~", "~", "~"),
+    ],
+    "js": [
+        ("var:app{k}", "Variable", "app{k}", "app{k} = new Router(1)", "app{k} = new Router(1)", "~", "~", "~", "Router"),
+        ("handler:app{k}.post@2:{c0}", "Function", '<app{k}.post:"/p/{k}">#0', "(a) =>", "(a) => auth{k}(a)", "POST", "/p/{k}", "app{k}", "~"),
+        ("handler:app{k}.post@2:{c1}", "Function", '<app{k}.post:"/p/{k}">#1', "(b) =>", "(b) => save{n}(b)", "POST", "/p/{k}", "app{k}", "~"),
+        ("handler:test@3:{c2}", "Function", '<test:"t{k}">', "() =>", "() => { check{n}(); }", "~", "~", "~", "~"),
+    ],
+    "java": [
+        ("class:O{k}", "Class", "O{k}", "public class O{k}", JAVA2[JAVA2.index("public class") : -1], "~", "~", "~", "~"),
+        ("interface:In{k}", "Interface", "In{k}", "interface In{k}", "interface In{k} { void a(); }", "~", "~", "~", "~"),
+        ("interface:In{k}.method:a@3", "Method", "a", "void a();", "void a();", "~", "~", "~", "~"),
+        ("class:Inner{k}", "Class", "Inner{k}", "static class Inner{k} extends O{n}", "static class Inner{k} extends O{n} {\n    void deep{k}() { new Z{n}().run{k}(); }\n  }", "~", "~", "~", "~"),
+        ("class:Inner{k}.method:deep{k}@5", "Method", "deep{k}", "void deep{k}()", "void deep{k}() { new Z{n}().run{k}(); }", "~", "~", "~", "~"),
+        ("class:O{k}.method:t{k}@7", "Method", "t{k}", "@Test public void t{k}()", "@Test public void t{k}() { ok{k}(); }", "~", "~", "~", "~"),
+    ],
+}
+#: (source, kind, target, exported name) of each edge; import specifiers; framework.
+EDGES2 = {
+    "tsx": [
+        ("", "DEFINES", "#interface:I{k}", "~"),
+        ("", "EXPORTS", "#interface:I{k}", "I{k}"),
+        ("", "DEFINES", "#type:T{k}", "~"),
+        ("", "DEFINES", "#enum:E{k}", "~"),
+        ("", "DEFINES", "#class:D{k}", "~"),
+        ("#class:D{k}", "IMPLEMENTS", "unresolved:interface:I{k}", "~"),
+        ("#class:D{k}", "IMPLEMENTS", "unresolved:interface:J{n}", "~"),
+        ("#class:D{k}", "HAS_PROPERTY", "#class:D{k}.prop:size{k}", "~"),
+        ("#class:D{k}", "HAS_METHOD", "#class:D{k}.method:go{k}@8", "~"),
+        ("#class:D{k}.method:go{k}@8", "CALLS", "unresolved:callable:load{n}", "~"),
+        ("", "DEFINES", "#fn:view{k}@10", "~"),
+        ("#fn:view{k}@10", "CALLS", "unresolved:callable:show{k}", "~"),
+        ("", "DEFINES", "#fn:lazy{k}@11", "~"),
+        *[("", "import", s, "~") for s in ("vitest", "./r{n}", "./s{n}", "./z{n}")],
+        ("", "framework", "vitest", "~"),
+    ],
+    "js": [
+        ("", "DEFINES", "#var:app{k}", "~"),
+        ("", "DEFINES", "#handler:app{k}.post@2:{c0}", "~"),
+        ("#handler:app{k}.post@2:{c0}", "CALLS", "unresolved:callable:auth{k}", "~"),
+        ("", "DEFINES", "#handler:app{k}.post@2:{c1}", "~"),
+        ("#handler:app{k}.post@2:{c1}", "CALLS", "unresolved:callable:save{n}", "~"),
+        ("", "DEFINES", "#handler:test@3:{c2}", "~"),
+        ("#handler:test@3:{c2}", "CALLS", "unresolved:callable:check{n}", "~"),
+        ("", "DEFINES", "#fn:long{k}@4", "~"),
+        ("#fn:long{k}@4", "CALLS", "unresolved:callable:fill{n}", "~"),
+        # No framework: the scan for it ends after 5,000 nodes, the last statements first.
+        ("", "import", "bun:test", "~"),
+    ],
+    "java": [
+        *[("", "DEFINES", t, "~") for t in ("#class:O{k}", "#interface:In{k}", "#class:Inner{k}")],
+        ("#interface:In{k}", "HAS_METHOD", "#interface:In{k}.method:a@3", "~"),
+        ("#class:Inner{k}", "EXTENDS", "unresolved:class:O{n}", "~"),
+        ("#class:Inner{k}", "HAS_METHOD", "#class:Inner{k}.method:deep{k}@5", "~"),
+        ("#class:Inner{k}.method:deep{k}@5", "CALLS", "unresolved:callable:run{k}", "~"),
+        ("#class:Inner{k}.method:deep{k}@5", "CALLS", "unresolved:callable:Z{n}", "~"),
+        ("#class:O{k}", "HAS_METHOD", "#class:O{k}.method:t{k}@7", "~"),
+        ("#class:O{k}.method:t{k}@7", "CALLS", "unresolved:callable:ok{k}", "~"),
+        ("", "import", "org.junit.Test", "~"),
+        ("", "framework", "junit", "~"),
+    ],
+}
 _SOURCES = {"ts": ("typescript", TS), "js": ("javascript", JS), "java": ("java", JAVA)}
+_SOURCES2 = {"tsx": ("tsx", TSX2), "js": ("javascript", JS2), "java": ("java", JAVA2)}
 
 
 def filled(template: str, k: Column) -> Column:
@@ -84,9 +187,9 @@ def filled(template: str, k: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{k}"), k.cast("string")), F.lit("{n}"), (k + 1).cast("string"))
 
 
-def sources(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+def sources(spark: SparkSession, sf_dir: str, ending: str, of: dict | None = None) -> DataFrame:
     """One source file (path, language, content, seq, hash) a part."""
-    language, template = _SOURCES[ending]
+    language, template = (of or _SOURCES)[ending]
     k, content = F.col("p_partkey"), filled(template, F.col("p_partkey"))
     return read(spark, sf_dir, "part").select(filled("/repo/m{k}." + ending, k).alias("path"), F.lit(language).alias("language"), content.alias("content"), k.alias("seq"), F.sha2(content, 256).alias("hash"))
 
@@ -118,6 +221,82 @@ for _ending in _SOURCES:
     ORACLES[f"extract_{_ending}"] = _found_sql(_ending)
 
 
+def _shape_sql(columns: tuple[str, ...], shapes: list[tuple], ending: str, held: str = "true") -> str:
+    """Rows of filled texts.  Columns of the JavaScript handlers follow from the
+    number of digits of the key: 16, 31 and 10 for none."""
+
+    def text(value: str) -> str:
+        if value == "~":
+            return "NULL::varchar"
+        full = value.replace("'", "''")
+        for name, at in (("{c0}", "16 + 2 * length(p_partkey::varchar)"), ("{c1}", "32 + 3 * length(p_partkey::varchar)"), ("{c2}", "10 + length(p_partkey::varchar)")):
+            full = full.replace(name, f"' || ({at}) || '")
+        return f"replace(replace('{full}', '{{k}}', p_partkey::varchar), '{{n}}', (p_partkey + 1)::varchar)"
+
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{text(v)} AS {c}" for c, v in zip(columns, s, strict=True)) + f" FROM part WHERE {held}" for s in shapes)
+
+
+_NODE2 = ("item", "kind", "name", "signature", "body", "http_method", "route", "router_object", "builder")
+
+
+def _nodes2(ending: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = extract.extract_symbols(sources(spark, sf_dir, ending, _SOURCES2)).where("what = 'node'").select("node.*")
+        long = F.col("name").startswith("long")
+        shown = rows.where(~long).select(F.substring_index("id", "#", -1).alias("item"), *_NODE2[1:])
+        cut = rows.where(long & F.col("body_truncated")).select(F.substring_index("id", "#", -1).alias("item"), "kind", "name", "signature", (F.length("body") - F.length("name")).cast("string").alias("body"), *_NODE2[5:])
+        return shown.unionByName(cut)
+
+    return run
+
+
+def _cut_sql() -> str:
+    """The long function: its text is cut at the last line end within 50,000."""
+    k, line = "length(p_partkey::varchar)", "(10 + length((p_partkey + 1)::varchar))"
+    head = f"(17 + {k})"  # "function long{k}() {" without its line end
+    lines = f"((49999 - {head}) // {line})"
+    return f"SELECT 'fn:long' || p_partkey || '@4' AS item, 'Function' AS kind, 'long' || p_partkey AS name, 'function long' || p_partkey || '()' AS signature, ({head} + {lines} * {line} - 4 - {k})::varchar AS body, NULL AS http_method, NULL AS route, NULL AS router_object, NULL AS builder FROM part WHERE {head} + 1 + 5000 * {line} + 1 > 50000"
+
+
+def _edges2(ending: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = extract.extract_symbols(sources(spark, sf_dir, ending, _SOURCES2))
+        local = lambda c: F.when(F.col(c).startswith("file:"), F.regexp_replace(c, "^file:[^#]*", "")).otherwise(F.col(c))
+        held = rows.where("what = 'edge'").select("edge.*").select(local("src").alias("src"), "kind", local("dst").alias("dst"), "exported_name")
+        said = rows.where("what = 'import' or what = 'file' and framework is not null").select(F.lit("").alias("src"), F.when(F.col("what") == "import", "import").otherwise("framework").alias("kind"), F.coalesce("spec", "framework").alias("dst"), F.lit(None).cast("string").alias("exported_name"))
+        return held.unionByName(said)
+
+    return run
+
+
+for _ending in _SOURCES2:
+    QUERIES[f"extract_nodes_{_ending}"] = _nodes2(_ending)
+    ORACLES[f"extract_nodes_{_ending}"] = _shape_sql(_NODE2, NODES2[_ending], _ending) + (f" UNION ALL {_cut_sql()}" if _ending == "js" else "")
+    QUERIES[f"extract_edges_{_ending}"] = _edges2(_ending)
+    ORACLES[f"extract_edges_{_ending}"] = _shape_sql(("src", "kind", "dst", "exported_name"), EDGES2[_ending], _ending)
+
+
+def java_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names a.b.C{k} over files in three folders: by package path, the first in
+    walk order; a name without a dot may end a longer file name."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(k)
+    path = lambda top: F.concat(F.lit(f"/repo/{top}/a/b/C"), k.cast("string"), F.lit(".java"))
+    found = p.where(k % 3 != 0).select(path("one").alias("path"), (2 * k).alias("seq")).unionByName(p.where(k % 2 == 0).select(path("two").alias("path"), (2 * k - 1).alias("seq")))
+    files = found.select(F.concat(F.lit("file:"), "path").alias("id"), "path", "seq")
+    src = F.concat(F.lit("file:/repo/M"), k.cast("string"))
+    asked = p.select(src.alias("src"), F.concat(F.lit("a.b.C"), k.cast("string")).alias("spec")).unionByName(p.select(src.alias("src"), F.concat(F.lit("C"), k.cast("string")).alias("spec")))
+    return resolve.resolve_imports(asked.select("src", F.lit("/repo/M.java").alias("src_path"), F.lit("java").alias("language"), "spec"), files)
+
+
+QUERIES["java_imports"] = java_imports
+ORACLES["java_imports"] = """WITH f AS (SELECT p_partkey AS k, '/repo/one/a/b/C' || p_partkey || '.java' AS path, 2 * p_partkey AS seq FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT p_partkey, '/repo/two/a/b/C' || p_partkey || '.java', 2 * p_partkey - 1 FROM part WHERE p_partkey % 2 = 0),
+first AS (SELECT k, arg_min(path, seq) AS path FROM f GROUP BY k),
+asked AS (SELECT p_partkey AS k, 'file:/repo/M' || p_partkey AS src, 'a.b.C' || p_partkey AS spec FROM part UNION ALL SELECT p_partkey, 'file:/repo/M' || p_partkey, 'C' || p_partkey FROM part)
+SELECT src, spec, coalesce('file:' || path, 'unresolved:module:' || spec) AS dst, CASE WHEN path IS NULL THEN spec END AS unresolved FROM asked LEFT JOIN first USING (k)"""
+
+
 def _resolved_sql(held: str = "true") -> str:
     """Edges between files m1, m2, ... of which those where ``held`` are there."""
     return f"""WITH f AS (SELECT p_partkey AS k, 'file:/repo/m' || p_partkey || '.ts' AS id FROM part WHERE {held}),
@@ -162,6 +341,27 @@ def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["leiden"] = leiden
 
 
+def leiden_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of Leiden's communities on any graph: each node has one, each is
+    connected, and their modularity is above that of label propagation and of the
+    given communities."""
+    p, links = parts(spark, sf_dir), analytics.undirected(edges(spark, sf_dir), parts(spark, sf_dir))
+    found, links = staged(leiden(spark, sf_dir), "leiden"), staged(links, "links")
+    of = found.select("id", "community")
+    inside = links.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
+    spread = analytics.components(found.select("id"), inside)
+    whole = found.join(spread, "id").groupBy("community").agg(F.count_distinct("component").alias("n")).agg(F.max("n").alias("most"))
+    others = [analytics.label_propagation(p, links), p.select("id", "community")]
+    better = [analytics.modularity(found, links).toDF("m").join(analytics.modularity(x, links).toDF("o"), F.lit(True)).select((F.col("m") >= F.col("o")).alias(c)) for x, c in zip(others, ("above_propagation", "above_given"), strict=True)]
+    counts = found.agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"))
+    # Five tables of one row each.
+    return counts.join(whole.select((F.col("most") == 1).alias("connected")), F.lit(True)).join(better[0], F.lit(True)).join(better[1], F.lit(True))
+
+
+QUERIES["leiden_quality"] = leiden_quality
+ORACLES["leiden_quality"] = "SELECT count(*) AS nodes, count(DISTINCT p_partkey) AS ids, true AS connected, true AS above_propagation, true AS above_given FROM part"
+
+
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", embed.embed_text(F.col("lang"), F.col("text")).alias("text"))
 
@@ -170,11 +370,19 @@ QUERIES["embed_text"], ORACLES["embed_text"] = embed_text, "SELECT doc_id, conca
 
 
 def embed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components that are not zero, of the built-in model."""
     docs = read(spark, sf_dir, "documents")
-    return embed.embed(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), F.col("text").alias("body")))
+    made = embed.embed(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), F.col("text").alias("body")))
+    return made.select("id", F.posexplode("embedding").alias("component", "v")).where("v <> 0").select("id", "component", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 QUERIES["embed_vectors"] = embed_vectors
+ORACLES["embed_vectors"] = r"""WITH texts AS (SELECT doc_id::varchar AS id, concat_ws(chr(10), lang, substring(text, 1, 1500)) AS text FROM documents),
+parts AS (SELECT id, lower(unnest(regexp_extract_all(text, '[A-Za-z][a-z0-9]*|[0-9]+|[\p{L}\p{N}_]'))) AS p FROM texts),
+hashed AS (SELECT id, ('0x' || substring(md5(p), 1, 8))::BIGINT AS h FROM parts),
+sums AS (SELECT id, h % 256 AS component, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END)::double AS s FROM hashed GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(s * s)) AS norm FROM sums GROUP BY id)
+SELECT id, component::int AS component, round((s / norm)::float::double, 6) AS value FROM sums JOIN norms USING (id) WHERE s <> 0"""
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

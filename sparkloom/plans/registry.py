@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import analytics, graph, impact, incremental, overview, resolve, search, traverse
+from sparkloom.operators.postings import SearchIndex
 from sparkloom.plans import views as v
 from sparkloom.plans.views import SQL, START, read
+from sparkloom.sources.shared import new_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -390,6 +392,16 @@ def label_propagation_3(spark, d):
     return analytics.label_propagation(v.parts(spark, d), _links(spark, d), 3)
 
 
+def _given_modularity(spark, d):
+    return analytics.modularity(v.parts(spark, d), _links(spark, d))
+
+
+@query(f"""AND {_LINKS}, m AS (SELECT a.community AS a, count(*)::double AS d, sum((a.community = b.community)::int) AS inside FROM links JOIN parts a ON a.id = src JOIN parts b ON b.id = dst GROUP BY a.community)
+SELECT round(sum(inside) / sum(d) - sum(d * d) / (sum(d) * sum(d)), 9) AS modularity FROM m""")
+def modularity(spark, d):
+    return _given_modularity(spark, d).select(F.round("modularity", 9).alias("modularity"))
+
+
 # Search
 
 _BM25 = """docs AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS toks FROM documents),
@@ -437,6 +449,28 @@ def fuzzy_term(spark, d):
     return _full(spark, d, "idiots~1", None)
 
 
+def _posted(text: str, limit: int | None) -> Query:
+    """The same searches over a stored index, which is built first."""
+
+    def run(spark, d):
+        index = SearchIndex.build(v.documents(spark, d), new_place(spark, "search"))
+        return index.search(text, limit).select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+_POSTED = {
+    "postings_topk": (_bm25_sql([_term("the"), _term("onthe"), _term("des")], "h0 + h1 + h2 > 0", "LIMIT 20"), "the onthe des", 20),
+    "postings_not": (_bm25_sql([_term("the")], f"h0 > 0 AND {_term('of')} = 0", ""), "the NOT of", None),
+    "postings_phrase": (_bm25_sql(["len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))::double"], "h0 > 0", ""), '"of the"', None),
+    "postings_prefix": (_bm25_sql(["len(list_filter(toks, lambda t: starts_with(t, 'thing')))::double"], "h0 > 0", ""), "thing*", None),
+}
+for _name, (_sql, _text, _limit) in _POSTED.items():
+    _f = _posted(_text, _limit)
+    _f.__name__ = _name
+    query(_sql, graph=False)(_f)
+
+
 def _query_vector(spark, d) -> list[float]:
     return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
