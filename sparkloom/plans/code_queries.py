@@ -96,7 +96,9 @@ const app{k} = new Router(1);
 app{k}.post("/p/{k}", (a) => auth{k}(a), (b) => save{n}(b));
 test("t{k}", () => { check{n}(); });
 function long{k}() {
-""" + "  fill{n}();\n" * 5000 + "}\n"
+  fill{n}();
+  const t = `
+""" + "  line {k}\n" * 6000 + "`;\n}\n"
 JAVA2 = """package q;
 import org.junit.Test;
 public class O{k} {
@@ -162,8 +164,8 @@ EDGES2 = {
         ("#handler:test@3:{c2}", "CALLS", "unresolved:callable:check{n}", "~"),
         ("", "DEFINES", "#fn:long{k}@4", "~"),
         ("#fn:long{k}@4", "CALLS", "unresolved:callable:fill{n}", "~"),
-        # No framework: the scan for it ends after 5,000 nodes, the last statements first.
         ("", "import", "bun:test", "~"),
+        ("", "framework", "bun", "~"),
     ],
     "java": [
         *[("", "DEFINES", t, "~") for t in ("#class:O{k}", "#interface:In{k}", "#class:Inner{k}")],
@@ -252,10 +254,10 @@ def _nodes2(ending: str):
 
 def _cut_sql() -> str:
     """The long function: its text is cut at the last line end within 50,000."""
-    k, line = "length(p_partkey::varchar)", "(10 + length((p_partkey + 1)::varchar))"
-    head = f"(17 + {k})"  # "function long{k}() {" without its line end
+    k, n = "length(p_partkey::varchar)", "length((p_partkey + 1)::varchar)"
+    head, line = f"(41 + {k} + {n})", f"(8 + {k})"  # up to the string's first line end; a line with its own
     lines = f"((49999 - {head}) // {line})"
-    return f"SELECT 'fn:long' || p_partkey || '@4' AS item, 'Function' AS kind, 'long' || p_partkey AS name, 'function long' || p_partkey || '()' AS signature, ({head} + {lines} * {line} - 4 - {k})::varchar AS body, NULL AS http_method, NULL AS route, NULL AS router_object, NULL AS builder FROM part WHERE {head} + 1 + 5000 * {line} + 1 > 50000"
+    return f"SELECT 'fn:long' || p_partkey || '@4' AS item, 'Function' AS kind, 'long' || p_partkey AS name, 'function long' || p_partkey || '()' AS signature, ({head} + {lines} * {line} - 4 - {k})::varchar AS body, NULL AS http_method, NULL AS route, NULL AS router_object, NULL AS builder FROM part"
 
 
 def _edges2(ending: str):
@@ -406,13 +408,14 @@ ORACLES["stream_delta"] = "SELECT path, content, op FROM (SELECT 'f' || user_id
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by type, kept by a windowed streaming aggregate."""
+    """Hourly counts by type, kept by a windowed streaming aggregate: each batch
+    writes the windows it moved, and the last word on a window counts."""
     place = new_place(spark, "stream-counts")
     counted = feed.event_counts(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
-    started = counted.writeStream.outputMode("complete").foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{place}/v{number}")).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start()
+    started = counted.writeStream.outputMode("update").foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{place}/batch={number}")).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start()
     started.awaitTermination()
-    last = started.lastProgress["batchId"]
-    return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{place}/v{last}")
+    moved = spark.read.schema("start timestamp, event_type string, n long, batch int").parquet(place)
+    return moved.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 QUERIES["stream_event_counts"] = stream_event_counts

@@ -313,9 +313,11 @@ def containment_closure(spark, d):
     return traverse.closure(tree, roots)
 
 
-@query("SELECT id, path FROM parts WHERE id NOT IN (SELECT dst FROM edges)")
+@query("SELECT id, path FROM (SELECT id, path FROM parts UNION ALL SELECT 'page:' || page_id, url FROM pages) WHERE id NOT IN (SELECT dst FROM edges)")
 def entry_points(spark, d):
-    return traverse.entry_points(v.parts(spark, d), v.edges(spark, d)).select("id", "path")
+    """Over parts, nearly all of which an edge leads to, and pages, none of which."""
+    pages = read(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("path"))
+    return traverse.entry_points(v.parts(spark, d).select("id", "path").unionByName(pages), v.edges(spark, d)).select("id", "path")
 
 
 # Analytics

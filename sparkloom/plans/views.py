@@ -1,7 +1,7 @@
 """A property graph derived from relational tables, and the same as SQL.
 
 Parts are files (type and brand are folders, brand the community); consecutive
-lines of an urgent order are the edges.  The operators run on these tables just
+lines of an order are the edges.  The operators run on these tables just
 as on a graph extracted from source code.
 """
 
@@ -17,8 +17,7 @@ SQL = """
 parts AS (SELECT 'part:' || p_partkey AS id, p_partkey AS k, p_name AS name, '/repo/' || p_type || '/' || p_brand || '/' || p_name || '_' || p_partkey AS path,
   p_type AS language, p_brand AS community, p_retailprice AS pagerank, p_size >= 48 AS is_core, p_size <= 5 AS is_test, 'File' AS kind FROM part),
 edges AS (SELECT DISTINCT 'part:' || a.l_partkey AS src, 'part:' || b.l_partkey AS dst FROM lineitem a
-  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey
-  JOIN orders ON o_orderkey = a.l_orderkey AND o_orderpriority = '1-URGENT'),
+  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey),
 hrefs AS (SELECT DISTINCT 'page:' || page_id AS src, symbol FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS symbol FROM pages))
 """
 
@@ -44,9 +43,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    urgent = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    a = line.join(urgent, "l_orderkey", "left_semi")
+    a = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     b = a.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
     pair = a.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> next").select("l_partkey", "next").distinct()
     name = lambda c: F.concat(F.lit("part:"), F.col(c).cast("string"))

@@ -23,17 +23,20 @@ def without_late(changes: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.where(F.col("last_indexed").isNull() | (F.col("ts") > F.col("last_indexed"))).select(*changes.columns)
 
 
-def follow(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run ``apply(changes, batch id)`` on each micro-batch of a stream of events.
+def follow(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, stored: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Run ``apply(changes, batch id)`` on each micro-batch of a stream of events,
+    without changes older than ``stored()`` (path, last_indexed), if given.
     ``apply`` must be idempotent for a batch id, as a batch may run again."""
     watched = events.withWatermark("ts", WATERMARK)
 
     def batch(df: DataFrame, number: int) -> None:
-        apply(latest_changes(df), number)
+        changes = latest_changes(df)
+        apply(without_late(changes, stored()) if stored else changes, number)
 
     return watched.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Windowed counts a type, with late events dropped past the watermark."""
+    """Windowed counts a type.  In update or append mode events past the watermark
+    are dropped and the state of closed windows is freed; complete mode keeps all."""
     return events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
