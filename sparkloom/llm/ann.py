@@ -9,12 +9,15 @@ coordinate descent, as error along the vector adds up over the pairs.
 A query turns into a table of 16 partial scores a pair; two pairs share a byte,
 so a scan sums one lookup a byte.  What comes within ``margin`` of the query's
 bound is scored exactly, in double precision, on the original vectors.  The
-bound is the query's exact k-th best score over the fitting sample, hence never
-above the true one; the margin is the ``SAFETY`` quantile of the scan's error on
-the sample's true neighbours.  No number of candidates is fixed anywhere.
-
-The sample is bounded (``SAMPLE`` vectors); every valid row is indexed.  Queries
-are taken in blocks of at most ``BLOCK_QUERIES``, each sent to all executors.
+bound starts as the query's exact k-th best score over the fitting sample, hence
+never above the true one, and rises to the k-th best that the task has found;
+the margin is the ``SAFETY`` quantile of the scan's error on the sample's true
+neighbours.  No number of candidates is fixed anywhere.  A query that finds fewer
+than k rows that way is scanned again without a margin.
+
+The sample is bounded (``SAMPLE`` vectors, one an id); every valid row is indexed.
+Queries get their bounds on the executors and are taken in blocks of at most
+``BLOCK_QUERIES``, each sent to all executors.
 """
 
 from __future__ import annotations
@@ -183,7 +186,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
 
     Rows of a query's own id are no candidates for it.  Vectors that are null,
     zero or hold null or non-finite components take no part, nor do null ids and
-    vectors whose length isn't the most frequent one.  A repeated row counts as
+    vectors whose length isn't the most frequent one: inner products need one
+    length.  Scores are those of the original components, floats or doubles, in
+    double precision.  A repeated row counts as
     often as it occurs; of queries with one id the least vector is taken.  Other
     columns aren't read; an empty side gives an empty result.
     """
@@ -195,11 +200,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
         return spark.createDataFrame([], schema)
     dim, n = sizes[0]["dim"], sizes[0]["n"]
     rows = rows.where(F.size("embedding") == dim)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20)).toPandas().sort_values("vec_id")
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
+    drawn = drawn.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toPandas().sort_values("vec_id")
     if not len(drawn):
         drawn = rows.limit(sample).toPandas()
-    sample_x, sample_ids = np.array(drawn["embedding"].tolist(), np.float32), drawn["vec_id"].to_numpy()
-    sent = spark.sparkContext.broadcast(fit(sample_x, k))
+    real = rows.schema["embedding"].dataType.elementType.simpleString()
+    kind = np.float32 if real == "float" else np.float64
+    sample_x, sample_ids = np.array(drawn["embedding"].tolist(), kind), drawn["vec_id"].to_numpy()
+    sent = spark.sparkContext.broadcast(fit(sample_x.astype(np.float32), k))
+    drawn_sent = spark.sparkContext.broadcast((sample_x, sample_ids))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
@@ -209,57 +218,83 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
                 code = model.packed(model.codes(np.array(part["embedding"].tolist(), np.float32)))
                 yield part.assign(code=[c.tobytes() for c in code])
 
-    index = staged(rows.mapInPandas(encode, "vec_id long, embedding array<float>, code binary"), "ann-index")
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, ids = drawn_sent.value
+        for batch in batches:
+            q = np.array(batch["embedding"].tolist(), kind).reshape(len(batch), -1)
+            yield batch.assign(low=bounds(q, batch["vec_id"].to_numpy(), x, ids, k))
+
+    index = staged(rows.mapInPandas(encode, f"vec_id long, embedding array<{real}>, code binary"), "ann-index")
     asked = queries.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
-    asked = staged(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
-    n_queries = asked.count()
-    blocks = -(-n_queries // max(block // 2, 1)) if n_queries > block else 1
+    asked = asked.groupBy("vec_id").agg(F.min(F.col("embedding").cast(f"array<{real}>")).alias("embedding"))
+    asked = staged(asked.mapInPandas(bounded, f"vec_id long, embedding array<{real}>, low double"), "ann-queries")
+    found = staged(_in_blocks(index, sent, asked, k, block, kind, schema), "ann-found")
+    # Candidates of a query: all rows but those of its own id.
+    own = index.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    had = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("had"))
+    few = F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))
+    short = staged(asked.join(had, "vec_id", "left").join(own, "vec_id", "left").where(few).select("vec_id", "embedding", F.lit(float("-inf")).alias("low")), "ann-short")
+    again = _in_blocks(index, sent, short, k, block, kind, schema, whole=True)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_blocks(index: DataFrame, model_sent, asked: DataFrame, k: int, block: int, kind: type, schema: str, whole: bool = False) -> DataFrame:
+    """Ranked neighbours of the queries (vec_id, embedding, low), block by block."""
+    n = asked.count()
+    blocks = -(-n // max(block // 2, 1)) if n > block else 1
     found = []
-    for b in range(blocks if n_queries else 0):
+    for b in range(blocks if n else 0):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas().sort_values("vec_id")
         if len(mine):
-            q, ids = np.array(mine["embedding"].tolist(), np.float32), mine["vec_id"].to_numpy()
-            found.append(_scan(index, sent, q, ids, bounds(q, ids, sample_x, sample_ids, k), k))
+            q = np.array(mine["embedding"].tolist(), kind)
+            found.append(_scan(index, model_sent, q, mine["vec_id"].to_numpy(), mine["low"].to_numpy(), k, whole))
     if not found:
-        return spark.createDataFrame([], schema)
+        return index.sparkSession.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    merged = reduce(DataFrame.unionByName, found)
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(index: DataFrame, model_sent, q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, k: int) -> DataFrame:
-    """The k best rows of each part of the index for each query, exactly scored."""
+def _scan(index: DataFrame, model_sent, q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, k: int, whole: bool) -> DataFrame:
+    """The k best rows of each task for each query, exactly scored; ``whole``
+    scores every row and scans none."""
     sent = index.sparkSession.sparkContext.broadcast((q, q_ids, low))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, (queries, ids, bound) = model_sent.value, sent.value
-        slack = model.margin * np.linalg.norm(queries, axis=1)
+        slack = np.full(len(queries), np.inf) if whole else model.margin * np.linalg.norm(queries.astype(np.float64), axis=1)
+        least = bound.copy()
+        none = (np.zeros(0), np.zeros(0, np.int64))
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in _joined(batches):
-            vec_ids, x = batch["vec_id"].to_numpy(), np.array(batch["embedding"].tolist(), np.float32)
+            vec_ids, x = batch["vec_id"].to_numpy(), np.array(batch["embedding"].tolist(), queries.dtype)
             packed = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(x), -1)
             kept = _best_of_equal(vec_ids, x, k + 1)
             vec_ids, x, packed = vec_ids[kept], x[kept], packed[kept]
-            out = []
             for i in range(0, len(queries), _MANY):
-                near = model.scan(queries[i : i + _MANY], packed)
-                for j in range(len(near)):
-                    at = i + j
-                    least = bound[at]
-                    if least == -np.inf and len(x) > 2 * k:
-                        # No bound yet: the exact k-th best of this part's likeliest.
-                        likely = np.argpartition(-near[j], 2 * k)[: 2 * k]
-                        scores = exact(x[likely[vec_ids[likely] != ids[at]]], queries[at])
-                        least = np.sort(scores)[-k] if len(scores) >= k else -np.inf
-                    close = np.flatnonzero((near[j] >= least - slack[at]) & (vec_ids != ids[at]))
+                near = None if whole else model.scan(queries[i : i + _MANY], packed)
+                for at in range(i, min(i + _MANY, len(queries))):
+                    others = vec_ids != ids[at]
+                    if not whole and least[at] == -np.inf and len(x) > 2 * k:
+                        # No bound yet: the exact k-th best of this batch's likeliest.
+                        likely = np.argpartition(-near[at - i], 2 * k)[: 2 * k]
+                        scores = exact(x[likely[others[likely]]], queries[at])
+                        least[at] = np.sort(scores)[-k] if len(scores) >= k else -np.inf
+                    close = np.flatnonzero(others if whole else (near[at - i] >= least[at] - slack[at]) & others)
                     if not len(close):
                         continue
                     scores = exact(x[close], queries[at])
-                    good = scores >= least
-                    close, scores = close[good], scores[good]
-                    best = np.lexsort((vec_ids[close], -scores))[:k]
-                    out.append((np.full(len(best), ids[at]), vec_ids[close[best]], scores[best]))
-            if out:
-                yield pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+                    good = scores >= least[at]
+                    had = best.get(at, none)
+                    scores, names = np.concatenate([had[0], scores[good]]), np.concatenate([had[1], vec_ids[close[good]]])
+                    top = np.lexsort((names, -scores))[:k]
+                    best[at] = scores[top], names[top]
+                    if len(top) == k:
+                        least[at] = max(least[at], scores[top[-1]])
+        done = sorted(best)
+        for i in range(0, len(done), 1000):
+            part = done[i : i + 1000]
+            sizes = [len(best[at][0]) for at in part]
+            yield pd.DataFrame({"query_id": np.repeat(ids[part], sizes), "vec_id": np.concatenate([best[at][1] for at in part]), "score": np.concatenate([best[at][0] for at in part])})
 
     return index.mapInPandas(run, "query_id long, vec_id long, score double")
 

@@ -74,3 +74,41 @@ def test_odd_rows(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [20, 7, 7], 20: [0, 7, 7]}
     assert search_table(frame(spark, rows).limit(0)).count() == 0
     assert search_table(frame(spark, [(40, None), (60, [0, 0])])).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_query_against_brute_force(spark, sf):
+    """Recall, exact scores and whole results on the given embeddings."""
+    from sparkloom.llm.queries import op9_ann
+
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    vectors = [(r.vec_id, r.embedding) for r in rows]
+    want = brute(vectors, [i for i, _ in vectors if i % 20 == 0], 20)
+    got = by_query(op9_ann(spark, f"/root/testdata/{sf}"))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hits) > 0.99 and min(hits) >= 0.9
+    for q, found in got.items():
+        scores = dict(want[q])
+        assert all(abs(s - scores[i]) < 1e-12 for i, s in found if i in scores)
+
+
+def test_a_query_that_comes_short_is_scanned_again(spark, monkeypatch):
+    from sparkloom.llm import ann
+
+    g = np.random.default_rng(2)
+    vectors = [(i, v) for i, v in enumerate(g.normal(size=(400, 8)).astype(np.float32))]
+    monkeypatch.setattr(ann, "bounds", lambda q, *a: np.full(len(q), 1e9))  # nothing passes the first scan
+    df = frame(spark, vectors)
+    got = by_query(search(df, df.where("vec_id % 100 = 0"), 20))
+    want = brute(vectors, range(0, 400, 100), 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(g.normal(size=(300, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    for r in search(df, df.where("vec_id % 50 = 0"), 5).collect():
+        assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-13
