@@ -27,7 +27,7 @@ from xxhash import xxh3_128_digest
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Cuts and ids that a worker's cache holds at most, between blocks.
-CACHE_CUTS, CACHE_IDS = 1_000_000, 8_000_000
+CACHE_CUTS, CACHE_IDS = 2_000_000, 12_000_000
 BLOCK_BYTES = 2_000_000
 JOINED_CUTS = 20_000
 _HASHED = 64

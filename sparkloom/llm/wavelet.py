@@ -128,8 +128,8 @@ class WaveletMatrix:
         for shift, (z, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1], strict=True)):
             ones = np.unpackbits(plane.whole(), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
-            up.put(np.flatnonzero(~ones), row[:z])
-            up.put(np.flatnonzero(ones), row[z:] | row.dtype.type(1 << shift))
+            up[np.flatnonzero(~ones)] = row[:z]
+            up[np.flatnonzero(ones)] = row[z:] | row.dtype.type(1 << shift)
             row = up
         return self.alphabet[row] if self.n else np.zeros(0, "<u4")
 
