@@ -27,6 +27,7 @@ from sparkloom.llm.tokens import TOKENIZER_FILE, encoder
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
+SENT_SLOTS = 500_000
 
 _PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "task_rank")]
@@ -124,8 +125,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END_ID,
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("length", "task", before.alias("base"))
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
-    places = spark.createDataFrame(slots(shortest_pack_first(histogram, size)), "length long, low long, n long, first long, offset long")
-    # Its rows are bounded by the lengths, not by the documents: safe to send out.
-    placed = ranked.join(F.broadcast(places.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
+    found = slots(shortest_pack_first(histogram, size))
+    places = spark.createDataFrame(found, "of long, low long, n long, first long, offset long")
+    # Slots grow with the different lengths, not with the documents; up to a bound they are sent out.
+    places = F.broadcast(places) if len(found) <= SENT_SLOTS else places
+    placed = ranked.join(places, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"]
     return placed.select(*columns, *(["ids"] if with_ids else []))
