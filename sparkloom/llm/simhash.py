@@ -8,7 +8,8 @@ half is covered with radius 1 and a distance of at most 1).  A fingerprint has
 one *home* anchor per half, the code word within radius 1, and is replicated to
 every anchor within radius + distance = 2 of it (at most 16).  A home meets all
 replicas of its anchor, hence every linked pair meets; exact comparison of all
-64 bits decides.
+64 bits decides.  To find components, all that meet at an anchor are compared with
+the least of them first, and only what that leaves apart pair by pair.
 
 Equal fingerprints are merged before anything is replicated, so groups of exact
 copies cost one fingerprint, and the rows compared grow with the number of
@@ -82,24 +83,61 @@ def _halves(fp: str) -> Column:
     )
 
 
-def links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
-    """Pairs (a < b) of different fingerprints within ``distance`` (at most 3),
-    given by their values in column ``name``, one for each fingerprint.
+def _anchored(fps: DataFrame, distance: int, *names: str) -> DataFrame:
+    """(bits, names, half, anchor, home): each fingerprint at every anchor within
+    radius + distance of its halves; ``home`` marks the one within the radius.
 
     ``fps`` has one row per different fingerprint, in column ``fp``.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the anchors cover distances of 0 to 3")
-    coded = fps.select(F.col("fp").alias("bits"), F.col(name).alias("name"), F.inline(_halves("fp"))).withColumn("s", _syndrome(F.col("code")))
-    home = coded.select(F.col("bits").alias("x"), F.col("name").alias("a"), "half", F.col("code").bitwiseXOR(_bit(F.col("s"))).alias("anchor"))
+    coded = fps.select(F.col("fp").alias("bits"), *names, F.inline(_halves("fp"))).withColumn("s", _syndrome(F.col("code")))
     # Code words within 2 of a half: flip i and i xor s, where place 0 flips nothing.
     flips = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: i < i.bitwiseXOR(F.col("s")))
     around = F.when(F.col("s") == 0, F.array(F.col("code"))).otherwise(
         F.transform(flips, lambda i: F.col("code").bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(F.col("s")))))
     )
-    replicas = coded.select(F.col("bits").alias("y"), F.col("name").alias("b"), "half", F.explode(around).alias("anchor"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
-    return home.join(replicas, ["half", "anchor"]).where(near).select("a", "b").distinct()
+    home = F.col("code").bitwiseXOR(_bit(F.col("s")))
+    return coded.select("bits", *names, "half", home.alias("own"), F.explode(around).alias("anchor")).withColumn("home", F.col("anchor") == F.col("own")).drop("own")
+
+
+def _near(x: str, y: str, distance: int) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+
+def links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
+    """All pairs (a < b) of different fingerprints within ``distance`` (at most
+    3), given by their values in column ``name``, one for each fingerprint."""
+    named = fps.select("fp", F.col(name).alias("name"))
+    at = _anchored(named, distance, "name")
+    home = at.where("home").select(F.col("bits").alias("x"), F.col("name").alias("a"), "half", "anchor")
+    replicas = at.select(F.col("bits").alias("y"), F.col("name").alias("b"), "half", "anchor")
+    return home.join(replicas, ["half", "anchor"]).where((F.col("a") < F.col("b")) & _near("x", "y", distance)).select("a", "b").distinct()
+
+
+def head_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
+    """The pairs (a < b) of ``links`` in which a is the least of all that meet at
+    an anchor: one comparison a replica, however large the group."""
+    at = _anchored(fps.select("fp", F.col(name).alias("name")), distance, "name")
+    heads = at.groupBy("half", "anchor").agg(F.min(F.struct("name", "bits")).alias("head"), F.count("*").alias("met")).where("met > 1")
+    heads = staged(heads.select("half", "anchor", F.col("head.name").alias("a"), F.col("head.bits").alias("x")), "heads")
+    return at.join(heads, ["half", "anchor"]).where((F.col("a") < F.col("name")) & _near("x", "bits", distance)).select("a", F.col("name").alias("b")).distinct()
+
+
+def spanning_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
+    """Pairs of ``links`` that lead to the same components: those with heads, and
+    of the others only pairs whose ends the heads have left apart.  So a group of
+    near copies gives about as many pairs as it has members, and not their square.
+    """
+    found = staged(head_links(fps, distance, name), "links")
+    roots = components(found)
+    named = fps.select("fp", F.col(name).alias("name")).join(roots, F.col("name") == F.col("vertex"), "left").select("fp", "name", F.coalesce("root", "name").alias("root"))
+    at = _anchored(staged(named, "rooted"), distance, "name", "root")
+    home = at.where("home").select(F.col("bits").alias("x"), F.col("name").alias("a"), F.col("root").alias("ra"), "half", "anchor")
+    replicas = at.select(F.col("bits").alias("y"), F.col("name").alias("b"), F.col("root").alias("rb"), "half", "anchor")
+    apart = home.join(replicas, ["half", "anchor"]).where((F.col("ra") != F.col("rb")) & _near("x", "y", distance))
+    rest = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = marked.groupBy("fp").agg(F.min("id").alias("least"))
     # In order: known least ids first, then groups of null ids alone.
     groups = staged(groups.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("name")), "groups")
-    roots = components(links(groups, distance, "name"))
+    roots = components(spanning_links(groups, distance, "name"))
     named = groups.join(roots, groups.name == roots.vertex, "left").select("fp", F.coalesce("root", "name").getField("least").alias("component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -168,7 +206,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     marked = staged(docs.withColumns({fp: fingerprints(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
     least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
     groups = staged(marked.groupBy(F.col(fp).alias("fp")).agg(least), "groups")
-    stay = firsts(groups, components(links(groups, distance, "name")))
+    stay = firsts(groups, components(spanning_links(groups, distance, "name")))
     return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)
 
 

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm.simhash import components, fingerprint, keep_one, links, near_duplicates
+from sparkloom.llm.simhash import components, fingerprint, keep_one, links, near_duplicates, spanning_links
 
 
 def brute_fingerprint(text):
@@ -47,6 +47,10 @@ def test_all_links_are_found(spark):
     got = {(r.a, r.b) for r in links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == want and len(want) > 100
+    few = [(r.a, r.b) for r in spanning_links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
+    assert set(few) <= want and len(few) < len(want)
+    apart = lambda pairs: {frozenset(x for x in of if of[x] == r) for of in [groups(signed, lambda a, b: (min(a, b), max(a, b)) in pairs)] for r in of.values()}
+    assert apart(set(few)) == apart(want)
 
 
 def test_components_of_a_path_and_a_star(spark):
