@@ -94,7 +94,8 @@ def main(argv: list[str] | None = None) -> int:
             mode, n = index.update(spark, root, store, tuple(a.ignore))
             print("already up to date" if mode == "current" else f"{mode} delta: {n} files extracted", file=sys.stderr)
         graph = CodeGraph(spark, a.store)
-        graph.index_text()
+        if graph._index() is None:
+            graph.index_text()
         if a.stats:
             print(render.table(graph.get_overview()["kinds"]), file=sys.stderr)
         if a.json:

@@ -111,7 +111,7 @@ def _leiden_in_one_task(rows: DataFrame, seed: int, total: float | None = None)
     """(id, community) from rows (src, dst, w); a null dst only names a node."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = pdf.dropna()
+        pairs = pdf.dropna().sort_values(["src", "dst", "w"])  # in one order, whatever the shuffle gave
         member = leiden_local(sorted(set(pdf["src"])), list(zip(pairs["src"], pairs["dst"], pairs["w"], strict=True)), seed, total=total)
         return pd.DataFrame({"id": list(member), "community": [str(c) for c in member.values()]})
 
@@ -215,8 +215,8 @@ def _move(graph, degree, total, rng, start=None) -> dict:
                 near[part[m]] += w
         mass[own] -= degree[n]
         best, gain = own, near.get(own, 0.0) - degree[n] * mass[own] / total
-        for c in sorted(near, key=str):
-            g = near[c] - degree[n] * mass[c] / total
+        for c, w in near.items():
+            g = w - degree[n] * mass[c] / total
             if g > gain + 1e-12:
                 best, gain = c, g
         mass[best] += degree[n]
@@ -245,8 +245,8 @@ def _refine(graph, degree, total, part, rng) -> dict:
             if m != n and part[m] == part[n]:
                 near[fine[m]] += w
         best, gain = None, 1e-12
-        for c in sorted(near, key=str):
-            g = near[c] - degree[n] * mass[c] / total
+        for c, w in near.items():
+            g = w - degree[n] * mass[c] / total
             if c != n and g > gain:
                 best, gain = c, g
         if best is not None:

@@ -18,13 +18,16 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True)
 
     First plain steps, one row a node and round, find the edges within reach;
     they are written, and all else runs over them.  An edge can only be repeated
-    if it lies on a cycle, and rounds of peeling leave those that may; only these
-    are kept by a hash along a trail, so trails that differ in others are one row.
+    if it lies on a cycle, so not if nothing leads to it or on from it within
+    reach; two rounds of peeling leave those that may, and only these are kept by a
+    hash along a trail, so trails that differ in others are one row.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth is 1 to {MAX_DEPTH}")
     near, far = ("dst", "src") if reverse else ("src", "dst")
     every = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    if depth == 1:
+        return starts.select(F.col("id").alias("start"), F.col("id").alias("node")).join(every, "node").select("start", F.col("next").alias("node"), F.lit(1).alias("distance")).distinct()
     front, seen = starts.select(F.col("id").alias("node")).distinct(), []
     for _ in range(depth - 1):
         seen.append(front)
@@ -32,13 +35,10 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True)
     met = reduce(DataFrame.unionByName, [*seen, front]).distinct()
     reach = staged(every.join(met, "node", "left_semi"), "reach")
     cyclic = reach
-    for _ in range(depth if depth > 1 else 0):
+    for _ in range(2):
         cyclic = cyclic.join(cyclic.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", "next")
         cyclic = cyclic.join(cyclic.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next")
-        cyclic = staged(cyclic, "cyclic")
-        if cyclic.isEmpty():
-            break
-    steps = reach.join(cyclic.withColumn("edge", F.xxhash64("node", "next")), ["node", "next"], "left")
+    steps = staged(reach.join(cyclic.withColumn("edge", F.xxhash64("node", "next")), ["node", "next"], "left"), "steps")
     trail = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array().cast("array<bigint>").alias("used")).distinct()
     out = []
     for distance in range(1, depth + 1):
