@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Letters A-Z and white space as the contracts define them.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most ``BATCH_ROWS`` rows at once, unless the session
+    sets a number of its own: texts are long, and a worker holds a whole batch."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark's readers touch the path."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +53,7 @@ def new_place(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again.
     A lost executor then costs its running tasks, not what came before."""
+    bounded_batches(df.sparkSession)
     place = new_place(df.sparkSession, name)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
@@ -54,6 +68,15 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system: workers live on from stage
+    to stage, and what one stage has freed the next one's limit still counts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc: nothing to do
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bucket(column: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; 0 marks held-out documents."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import free_name, staged
+from sparkloom.llm.common import free_name, give_back, staged
 
 MIN_SCORE = 0.4
 SHORTEST, LONGEST = 2, 7
@@ -240,6 +240,7 @@ def _hits(docs: DataFrame, key: str, text_col: str, block: Block, least: float)
             out = pd.DataFrame([f[1:] for f in found], columns=_HIT.names)
             out.insert(0, "key", batch["key"].iloc[[f[0] for f in found]].to_numpy())
             yield out
+        give_back()
 
     rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _HIT)
     return docs.select(F.col(key).alias("key"), F.col(text_col).alias("text")).mapInPandas(run, f"key {kind}, {rest}")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import held_out, free_name
+from sparkloom.llm.common import free_name, give_back, held_out
 
 SAMPLE_DOCS = 1500
 VOCABULARY = 150_000
@@ -124,6 +124,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 grams.clear()
         yield rows("w", words)
         yield rows("g", grams)
+    give_back()
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
@@ -167,6 +168,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
         here = Model(*sent.value)
         for texts in batches:
             yield pd.DataFrame([here.predict(t) for t in texts], columns=_PREDICTED.names)
+        del here
+        give_back()
 
     # Annotations must be objects here, as pandas_udf reads them.
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -1,14 +1,19 @@
-"""Near-copies by MinHash candidates and exact shingle similarity.
+"""Near-copies of a similarity of 0.8 or more, by fingerprints and MinHash.
 
 Two texts are near-copies if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more.  Candidates are texts whose ``BANDS`` by ``ROWS`` MinHash
-values agree in all rows of a band; a pair of similarity 0.8 is missed with
-probability (1 - 0.8^5)^40, 1.3e-7, and the more alike the less.  Every candidate
-is then decided by its whole sets, so no pair below 0.8 is linked.
+shingles is 0.8 or more.  Candidates come from two searches: the anchor-point
+covering of ``simhash`` over the fingerprints of the sets, and MinHash, as three
+of 64 bits reach nearly equal texts only (at a similarity of 0.8 a bit differs
+with probability 0.15, so 10 of 64 on average).  MinHash candidates are texts
+whose ``BANDS`` by ``ROWS`` values agree in all rows of a band; a pair of
+similarity 0.8 is missed with probability (1 - 0.8^5)^40, 1.3e-7, and the more
+alike the less.  Every candidate is then decided by its whole sets, so no pair
+below 0.8 is linked.
 
 Texts of equal sets are merged first.  Then each bucket's members are compared
-with its first one, and the links found are contracted; only members of a bucket
-that are still in different components are compared pair by pair.  A large group
+with its head, the member that meets most others, and the links found are
+contracted.  Members of buckets that are still in different components are joined
+by the prefixes of their sets, which misses no link between them.  A large group
 of near-copies thus costs about its size.
 """
 
@@ -16,13 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from sparkloom.llm.common import staged
-from sparkloom.llm.simhash import components
+from sparkloom.llm.common import free_name, staged
+from sparkloom.llm.simhash import components, firsts, head_links
 
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 80
@@ -58,13 +63,22 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCH = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles as a signed long; of none: zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        part = hashes[at : at + _BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+_SKETCH = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(_SKETCH)
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"same": [xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+    return pd.DataFrame({"same": [xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "bands": [bands(s) for s in sets]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -76,31 +90,65 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST_PERCENT
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, marked: DataFrame, row: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of row numbers whose sets are similar."""
-    ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    sets = staged(marked.join(ends, "_row", "left_semi").select("_row", _shingles(F.col(text_col)).alias("set")), "sets")
+    ends = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
+    sets = staged(marked.join(ends, row, "left_semi").select(row, _shingles(F.col(text_col)).alias("set")), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * LEAST_PERCENT).select("a", "b")
 
 
-def _links(marked: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
+def _links(marked: DataFrame, sets: DataFrame, row: str, text_col: str) -> DataFrame:
     """Pairs (a, b) of row numbers that span the components of near-copies;
-    ``sets`` has (row, n, bands), one row a different set."""
+    ``sets`` has (row, n, fp, bands), one row a different set."""
     buckets = staged(sets.select("row", "n", F.explode("bands").alias("bucket")), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("row", "n")).alias("head"), F.count("*").alias("held")).where("held > 1")
-    first = buckets.join(heads, "bucket").where((F.col("row") != F.col("head.row")) & _sizes_allow(F.col("n"), F.col("head.n")))
-    first = staged(first.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    found = staged(_verified(first, marked, text_col), "links")
-    named = buckets.join(components(found), F.col("row") == F.col("vertex"), "left").select("row", "n", "bucket", F.coalesce("root", "row").alias("root"))
-    named = staged(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    mixed = staged(named.join(mixed, "bucket", "left_semi"), "mixed")
-    a, b = mixed.toDF("a", "na", "bucket", "ra"), mixed.toDF("b", "nb", "bucket", "rb")
-    rest = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_allow(F.col("na"), F.col("nb")))
-    rest = staged(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(_verified(rest, marked, text_col))
+    # Written tables on both sides of a join: Spark splits a hot key's rows.
+    sizes = staged(buckets.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "sizes")
+    shared = staged(buckets.join(sizes, "bucket"), "shared")
+    # A bucket's head is its member that meets most others: of copies of one text, that text.
+    met = staged(shared.groupBy("row").agg(F.sum("held").alias("met")), "met")
+    heads = shared.join(met, "row").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("row")).alias("order"), "n")).alias("h"))
+    heads = staged(heads.select("bucket", (-F.col("h.order")).alias("a"), F.col("h.n").alias("na")), "heads")
+    first = shared.join(heads, "bucket").where((F.col("row") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na")))
+    first = first.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+    # Of sets with one fingerprint the first is compared with the others and, for
+    # them all, with the heads of the anchors that it meets.
+    alike = staged(sets.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("name")), "alike")
+    same = sets.join(alike, "fp").where((F.col("row") > F.col("name.row")) & _sizes_allow(F.col("n"), F.col("name.n")))
+    near = head_links(alike, name="name").where(_sizes_allow(F.col("a.n"), F.col("b.n")))
+    prints = same.select(F.col("name.row").alias("a"), F.col("row").alias("b")).unionByName(near.select("a.row", "b.row").toDF("a", "b"))
+    first = staged(first.unionByName(prints).distinct(), "pairs")
+    found = staged(_verified(first, marked, row, text_col), "links")
+    named = staged(shared.join(components(found), F.col("row") == F.col("vertex"), "left").select("row", "n", "bucket", F.coalesce("root", "row").alias("root")), "named")
+    mixed = staged(named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "mixed")
+    left = staged(named.join(mixed, "bucket", "left_semi").select("row", "n", "root").distinct(), "left")
+    rest = staged(_prefixed(marked, left, row, text_col).join(first, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(_verified(rest, marked, row, text_col))
+
+
+def _prefixed(marked: DataFrame, left: DataFrame, row: str, text_col: str) -> DataFrame:
+    """Candidate pairs (a, b) among the rows ``left`` (row, n, root) whose roots
+    differ; no pair of similar sets with different roots is missing.
+
+    Each set is put in one order for all, rare shingles first.  Two similar sets
+    of n and m shingles share at least 4 / 9 (n + m), so their first shared one
+    stands among the first n / 5 + 1 of the larger and n / 9 + 1 of the smaller,
+    and after it enough must be left in both.  An edit brings shingles that no
+    other text has, and these come first: edited copies drop out by themselves.
+    """
+    own = marked.join(left.select(F.col("row").alias(row), "n", "root"), row).select(F.col(row).alias("row"), "n", "root", F.explode(_shingles(F.col(text_col))).alias("token"))
+    own = staged(own, "tokens")
+    seen = staged(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
+    ranked = own.join(seen, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "token")))
+    reach = F.floor(F.col("n") / 5) + 1
+    heads = staged(ranked.where(F.col("df").isNotNull() & (F.col("at") <= reach)).select("row", "n", "root", "token", "at"), "prefixes")
+    x = heads.select(*[F.col(c).alias(f"{c}_x") for c in ("row", "n", "root", "at")], "token")
+    y = heads.where(F.col("at") <= F.floor(F.col("n") / 9) + 1).select(*[F.col(c).alias(f"{c}_y") for c in ("row", "n", "root", "at")], "token")
+    larger = F.struct("n_x", "row_x") > F.struct(F.col("n_y").alias("n_x"), F.col("row_y").alias("row_x"))
+    enough = (1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))) * 9 >= (F.col("n_x") + F.col("n_y")) * 4
+    met = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & larger & enough & _sizes_allow(F.col("n_x"), F.col("n_y")))
+    return met.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,14 +158,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Texts without words (null ones too) equal each other.  An empty table stays
     empty.  Rows are numbered and sketched once, in a written table.
     """
-    marked = docs.withColumns({"_sketch": _sketch(F.col(text_col)), "_row": F.monotonically_increasing_id()})
-    marked = staged(marked, "marked")
-    least = F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("least")
-    groups = staged(marked.groupBy("_sketch.same").agg(least), "groups").select("least", F.col("least.row").alias("row"))
-    sets = marked.select(F.col("_row").alias("row"), "_sketch.n", "_sketch.bands").join(groups.select("row"), "row", "left_semi")
-    roots = components(_links(marked, sets, text_col))
-    linked = groups.join(roots, groups.row == roots.vertex, "left")
-    alone = linked.where("root is null").select("least.row")
-    chosen = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("least")).select("least.row")
-    stay = alone.unionByName(chosen).select(F.col("row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
+    sketch, row = free_name(docs, "_sketch"), free_name(docs, "_row")
+    marked = staged(docs.withColumns({sketch: _sketch(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
+    least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
+    groups = staged(marked.groupBy(F.col(sketch)["same"].alias("same")).agg(least), "groups")
+    numbered = groups.select("name", F.col("name.row").alias("row"))
+    sets = marked.select(F.col(row).alias("row"), *(F.col(sketch)[c].alias(c) for c in ("n", "fp", "bands"))).join(numbered.select("row"), "row", "left_semi")
+    found = staged(_links(marked, staged(sets, "different"), row, text_col), "links")
+    # Links by name, so that the least id of a component is its root.
+    by_name = found.join(numbered.toDF("x", "a"), "a").join(numbered.toDF("y", "b"), "b")
+    stay = firsts(numbered, components(by_name.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)

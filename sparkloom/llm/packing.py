@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import give_back, staged
 from sparkloom.llm.tokens import TOKENIZER_FILE, encoder
 
 SEQUENCE_TOKENS = 1024
@@ -57,6 +57,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = E
                     ranks[length] += 1
             out = pd.DataFrame(rows, columns=_PIECES.names)
             yield out.astype({"doc_id": "Int64"})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, _PIECES)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import new_place, staged
+from sparkloom.llm.common import give_back, new_place, staged
 from sparkloom.llm.tokens import TOKENIZER_FILE, encoder
 
 #: 0xC580, the bytes of one character in UTF-8, and above every id of the file.
@@ -76,6 +76,7 @@ def write_flat(docs: DataFrame, place: str, tokenizer: str = TOKENIZER_FILE) ->
                     names, ids, held = [], [], 0
             if names:
                 yield from out(names, ids)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = rows.mapInPandas(encode, "kind string, place long, value binary").sortWithinPartitions("kind", "place")

@@ -7,8 +7,9 @@ cuts, hence a bounded cache per Python worker replaces most calls of the
 tokenizer.
 
 A block of texts is cut, hashed and looked up by array operations: the cache is
-a sorted array of 64-bit hashes with a second hash that tells collisions apart
-and the place of the cut's ids in one pool.  Cuts that are not there yet are
+a sorted array of 64-bit hashes with a second hash of 32 bits that tells
+collisions apart and the place of the cut's ids in one pool.  A full cache keeps
+what was met again since it was last full.  Cuts that are not there yet are
 encoded by the tokenizers library, many in one call.  A cut that is a run of
 letters, with or without a mark after it, is one piece of the tokenizer's
 pattern (two with the mark), so these are given to the library's BPE directly,
@@ -27,8 +28,8 @@ from xxhash import xxh3_128_digest
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Cuts and ids that a worker's cache holds at most, between blocks.
-CACHE_CUTS, CACHE_IDS = 2_000_000, 12_000_000
-BLOCK_BYTES = 2_000_000
+CACHE_CUTS, CACHE_IDS = 1_500_000, 10_000_000
+BLOCK_BYTES = 1_000_000
 JOINED_CUTS = 20_000
 _HASHED = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -98,10 +99,23 @@ class Encoder:
 
     def _clear(self) -> None:
         self._keys = np.zeros(0, np.uint64)
-        self._checks = np.zeros(0, np.uint64)
-        self._at = np.zeros(0, np.int64)
-        self._n = np.zeros(0, np.int64)
-        self._pool = np.zeros(0, "<u4")
+        self._checks = np.zeros(0, np.uint32)
+        self._at = np.zeros(0, np.uint32)
+        self._n = np.zeros(0, np.uint32)
+        self._met = np.zeros(0, bool)
+        self._pool = np.zeros(0, np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32)
+
+    def _keep_met(self) -> None:
+        """Drop the cuts that were not met again; all, if that frees too little."""
+        if 2 * self._met.sum() > self._limit or 2 * self._n[self._met].sum() > CACHE_IDS:
+            self._clear()
+            return
+        at, n = self._at[self._met].astype(np.int64), self._n[self._met].astype(np.int64)
+        end = np.cumsum(n)
+        self._pool = self._pool[np.repeat(at - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        self._keys, self._checks = self._keys[self._met], self._checks[self._met]
+        self._at, self._n = (end - n).astype(np.uint32), n.astype(np.uint32)
+        self._met = np.zeros(len(n), bool)
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -217,7 +231,7 @@ class Encoder:
             return np.concatenate(each), np.cumsum(list(map(len, each)))
         n = n[group]
         end = np.cumsum(n)
-        ids = found[np.repeat(at[group] - (end - n), n) + np.arange(end[-1])]
+        ids = found[np.repeat(at[group] - (end - n), n) + np.arange(end[-1])].astype("<u4")
         cuts_before = np.searchsorted(starts, text_end)  # a text's cuts start before its end
         return ids, np.concatenate([[0], end])[cuts_before]
 
@@ -225,22 +239,24 @@ class Encoder:
         """(pool, place, count) of the ids of different cuts, in order of keys;
         what the cache lacks is learned."""
         if len(self._keys) > self._limit or len(self._pool) > CACHE_IDS:
-            self._clear()
+            self._keep_met()
         place = np.searchsorted(self._keys, keys)
         near = np.minimum(place, max(len(self._keys) - 1, 0))
         known = (self._keys[near] == keys) & (self._checks[near] == checks) if len(self._keys) else np.zeros(len(keys), bool)
         at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at[known], n[known] = self._at[near[known]], self._n[near[known]]
+        self._met[near[known]] = True
         lacks = np.flatnonzero(~known)
         if len(lacks):
             ids, own, count = self._learn(joined, raw, starts[lacks], lengths[lacks], firsts[lacks])
             at[lacks], n[lacks] = own + len(self._pool), count
-            self._pool = np.concatenate([self._pool, ids])
+            self._pool = np.concatenate([self._pool, ids.astype(self._pool.dtype)])
             into = place[lacks]
             self._keys = np.insert(self._keys, into, keys[lacks])
             self._checks = np.insert(self._checks, into, checks[lacks])
             self._at = np.insert(self._at, into, at[lacks])
             self._n = np.insert(self._n, into, count)
+            self._met = np.insert(self._met, into, False)
         return self._pool, at, n
 
 
@@ -293,4 +309,4 @@ def _hashes(joined: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
     for i in np.flatnonzero(lengths > _HASHED):
         digest = xxh3_128_digest(joined[starts[i] : starts[i] + lengths[i]])
         key[i], check[i] = np.frombuffer(digest, "<u8")
-    return key ^ (key >> np.uint64(29)), check
+    return key ^ (key >> np.uint64(29)), (check >> np.uint64(32)).astype(np.uint32)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import held_out, free_name, staged
+from sparkloom.llm.common import free_name, give_back, held_out, staged
 
 SAMPLE_DOCS = {1: 1200, 0: 1800}
 SAMPLE_CHARS = 12_000_000
@@ -40,7 +40,7 @@ GRAMS = (4, 5)
 #: Longer runs are read as consecutive pieces of 64 characters.
 _WORD = re.compile(r"\w{1,64}")
 _CACHED_WORDS = 120_000
-_BLOCK_WORDS = 150_000
+_BLOCK_WORDS = 80_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -405,6 +405,8 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", out: str = "tox
         scorer = Scorer(*sent.value)
         for texts in batches:
             yield pd.DataFrame(scorer.score(list(texts)), columns=_SCORED.names)
+        del scorer
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return docs.withColumn(free_name(docs, out), F.pandas_udf(run, _SCORED)(F.col(text_col)))

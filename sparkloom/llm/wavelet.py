@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import new_place
+from sparkloom.llm.common import give_back, new_place
 from sparkloom.llm.tokens import TOKENIZER_FILE, encoder
 
 MAGIC = b"WVM2"
@@ -286,6 +286,7 @@ def write_shards(docs: DataFrame, place: str, tokenizer: str = TOKENIZER_FILE, e
                     seq, names, held, size = seq + 1, [], [], 0
         if names:
             yield close()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("source"))
     rows = rows.repartitionByRange("doc_id", "source").sortWithinPartitions("doc_id", "source", "text")

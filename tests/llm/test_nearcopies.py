@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm.nearcopies import bands, keep_one, shingles
 
@@ -59,6 +60,30 @@ def test_given_documents(spark):
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == want
 
 
+def test_prefixes_miss_no_link(make_docs, spark):
+    """Rows with roots of their own against all pairs by brute force, at the edge
+    of the threshold and with sets of different sizes."""
+    from sparkloom.llm import nearcopies
+
+    g = random.Random(11)
+    rows = []
+    for k in range(6):
+        words = [f"w{k}x{i}" for i in range(g.choice([9, 24, 30, 90]))]
+        for _ in range(14):
+            v = words[: len(words) - g.randint(0, max(1, len(words) // 6))]
+            for _ in range(g.randint(0, 3)):
+                v[g.randrange(len(v))] = f"e{g.random()}"
+            rows.append((len(rows), " ".join(v)))
+    marked = make_docs(rows).withColumn("_row", F.col("doc_id"))
+    sets = {i: brute_set(t) for i, t in rows}
+    left = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "row long, n int, root long")
+    got = {(r.a, r.b) for r in nearcopies._prefixed(marked, left, "_row", "text").collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
+    assert want and want <= got and len(got) < 3 * len(want)
+    alone = left.withColumn("root", F.lit(1).cast("long"))
+    assert nearcopies._prefixed(marked, alone, "_row", "text").count() == 0
+
+
 def test_bands_miss_hardly_any_pair():
     """At a similarity of 0.8, and few at 0.4."""
     g = random.Random(4)
