@@ -17,7 +17,7 @@ different fingerprints.  Links name the groups by their least row, in an order
 in which the least member of a component is its result: nothing is ever dealt by
 component.  Components are found by hooking each vertex to its least neighbour
 and contracting the (few) links between what is left; every round is a written
-table.
+table.  No join sends a side to the driver: all of them grow with the data.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from sparkloom.llm.common import free_name, staged
+from sparkloom.llm.common import dealt, free_name, staged
 
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
@@ -112,7 +112,7 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> Dat
     at = _anchored(named, distance, "name")
     home = at.where("home").select(F.col("bits").alias("x"), F.col("name").alias("a"), "half", "anchor")
     replicas = at.select(F.col("bits").alias("y"), F.col("name").alias("b"), "half", "anchor")
-    return home.join(replicas, ["half", "anchor"]).where((F.col("a") < F.col("b")) & _near("x", "y", distance)).select("a", "b").distinct()
+    return home.join(dealt(replicas), ["half", "anchor"]).where((F.col("a") < F.col("b")) & _near("x", "y", distance)).select("a", "b").distinct()
 
 
 def head_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
@@ -121,7 +121,7 @@ def head_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -
     at = _anchored(fps.select("fp", F.col(name).alias("name")), distance, "name")
     heads = at.groupBy("half", "anchor").agg(F.min(F.struct("name", "bits")).alias("head"), F.count("*").alias("met")).where("met > 1")
     heads = staged(heads.select("half", "anchor", F.col("head.name").alias("a"), F.col("head.bits").alias("x")), "heads")
-    return at.join(heads, ["half", "anchor"]).where((F.col("a") < F.col("name")) & _near("x", "bits", distance)).select("a", F.col("name").alias("b")).distinct()
+    return at.join(dealt(heads), ["half", "anchor"]).where((F.col("a") < F.col("name")) & _near("x", "bits", distance)).select("a", F.col("name").alias("b")).distinct()
 
 
 def spanning_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp") -> DataFrame:
@@ -131,11 +131,11 @@ def spanning_links(fps: DataFrame, distance: int = MAX_DISTANCE, name: str = "fp
     """
     found = staged(head_links(fps, distance, name), "links")
     roots = components(found)
-    named = fps.select("fp", F.col(name).alias("name")).join(roots, F.col("name") == F.col("vertex"), "left").select("fp", "name", F.coalesce("root", "name").alias("root"))
+    named = fps.select("fp", F.col(name).alias("name")).join(dealt(roots), F.col("name") == F.col("vertex"), "left").select("fp", "name", F.coalesce("root", "name").alias("root"))
     at = _anchored(staged(named, "rooted"), distance, "name", "root")
     home = at.where("home").select(F.col("bits").alias("x"), F.col("name").alias("a"), F.col("root").alias("ra"), "half", "anchor")
     replicas = at.select(F.col("bits").alias("y"), F.col("name").alias("b"), F.col("root").alias("rb"), "half", "anchor")
-    apart = home.join(replicas, ["half", "anchor"]).where((F.col("ra") != F.col("rb")) & _near("x", "y", distance))
+    apart = home.join(dealt(replicas), ["half", "anchor"]).where((F.col("ra") != F.col("rb")) & _near("x", "y", distance))
     rest = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return found.unionByName(rest)
 
@@ -155,18 +155,18 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.col("vertex"), F.min("b")).alias("up"))
         hooks = staged(hooks, "hooks")
         above = hooks.select(F.col("vertex").alias("up"), F.col("up").alias("top"))
-        hooks = hooks.join(above, "up").select("vertex", F.col("top").alias("up"))
+        hooks = hooks.join(dealt(above), "up").select("vertex", F.col("top").alias("up"))
         hooks = staged(hooks, "hooks")
         if labels is None:
             labels = hooks.select("vertex", F.col("up").alias("root"))
         else:
             moved = hooks.select(F.col("vertex").alias("root"), "up")
-            labels = labels.join(moved, "root", "left").select("vertex", F.coalesce("up", "root").alias("root"))
+            labels = labels.join(dealt(moved), "root", "left").select("vertex", F.coalesce("up", "root").alias("root"))
         labels = staged(labels, "labels")
         a, b = (hooks.select(F.col("vertex").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         edges = (
-            edges.join(a, "a")
-            .join(b, "b")
+            edges.join(dealt(a), "a")
+            .join(dealt(b), "b")
             .where(F.col("a_up") != F.col("b_up"))
             .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
             .distinct()
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # In order: known least ids first, then groups of null ids alone.
     groups = staged(groups.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("name")), "groups")
     roots = components(spanning_links(groups, distance, "name"))
-    named = groups.join(roots, groups.name == roots.vertex, "left").select("fp", F.coalesce("root", "name").getField("least").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = groups.join(dealt(roots), groups.name == roots.vertex, "left").select("fp", F.coalesce("root", "name").getField("least").alias("component_id"))
+    return marked.join(dealt(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
@@ -207,10 +207,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
     groups = staged(marked.groupBy(F.col(fp).alias("fp")).agg(least), "groups")
     stay = firsts(groups, components(spanning_links(groups, distance, "name")))
-    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)
+    return marked.join(dealt(stay.withColumnRenamed("row", row)), row, "left_semi").select(*docs.columns)
 
 
 def firsts(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (``name.row``) of the groups that are in no component or its root."""
-    linked = groups.join(roots, groups.name == roots.vertex, "left")
+    linked = groups.join(dealt(roots), groups.name == roots.vertex, "left")
     return linked.where("root is null or root = name").select("name.row")
