@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from sparkloom.llm.common import free_name, staged
+from sparkloom.llm.common import dealt, free_name, staged
 from sparkloom.llm.simhash import components, firsts, head_links
 
 SHINGLE_WORDS = 5
@@ -93,8 +93,8 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, marked: DataFrame, row: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of row numbers whose sets are similar."""
     ends = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
-    sets = staged(marked.join(ends, row, "left_semi").select(row, _shingles(F.col(text_col)).alias("set")), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets = staged(marked.join(dealt(ends), row, "left_semi").select(row, _shingles(F.col(text_col)).alias("set")), "sets")
+    both = pairs.join(dealt(sets.toDF("a", "x")), "a").join(dealt(sets.toDF("b", "y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * LEAST_PERCENT).select("a", "b")
 
@@ -105,25 +105,25 @@ def _links(marked: DataFrame, sets: DataFrame, row: str, text_col: str) -> DataF
     buckets = staged(sets.select("row", "n", F.explode("bands").alias("bucket")), "buckets")
     # Written tables on both sides of a join: Spark splits a hot key's rows.
     sizes = staged(buckets.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "sizes")
-    shared = staged(buckets.join(sizes, "bucket"), "shared")
+    shared = staged(buckets.join(dealt(sizes), "bucket"), "shared")
     # A bucket's head is its member that meets most others: of copies of one text, that text.
     met = staged(shared.groupBy("row").agg(F.sum("held").alias("met")), "met")
-    heads = shared.join(met, "row").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("row")).alias("order"), "n")).alias("h"))
+    heads = shared.join(dealt(met), "row").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("row")).alias("order"), "n")).alias("h"))
     heads = staged(heads.select("bucket", (-F.col("h.order")).alias("a"), F.col("h.n").alias("na")), "heads")
-    first = shared.join(heads, "bucket").where((F.col("row") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na")))
+    first = shared.join(dealt(heads), "bucket").where((F.col("row") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na")))
     first = first.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
     # Of sets with one fingerprint the first is compared with the others and, for
     # them all, with the heads of the anchors that it meets.
     alike = staged(sets.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("name")), "alike")
-    same = sets.join(alike, "fp").where((F.col("row") > F.col("name.row")) & _sizes_allow(F.col("n"), F.col("name.n")))
+    same = sets.join(dealt(alike), "fp").where((F.col("row") > F.col("name.row")) & _sizes_allow(F.col("n"), F.col("name.n")))
     near = head_links(alike, name="name").where(_sizes_allow(F.col("a.n"), F.col("b.n")))
     prints = same.select(F.col("name.row").alias("a"), F.col("row").alias("b")).unionByName(near.select("a.row", "b.row").toDF("a", "b"))
     first = staged(first.unionByName(prints).distinct(), "pairs")
     found = staged(_verified(first, marked, row, text_col), "links")
-    named = staged(shared.join(components(found), F.col("row") == F.col("vertex"), "left").select("row", "n", "bucket", F.coalesce("root", "row").alias("root")), "named")
+    named = staged(shared.join(dealt(components(found)), F.col("row") == F.col("vertex"), "left").select("row", "n", "bucket", F.coalesce("root", "row").alias("root")), "named")
     mixed = staged(named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "mixed")
-    left = staged(named.join(mixed, "bucket", "left_semi").select("row", "n", "root").distinct(), "left")
-    rest = staged(_prefixed(marked, left, row, text_col).join(first, ["a", "b"], "left_anti"), "pairs")
+    left = staged(named.join(dealt(mixed), "bucket", "left_semi").select("row", "n", "root").distinct(), "left")
+    rest = staged(_prefixed(marked, left, row, text_col).join(dealt(first), ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(_verified(rest, marked, row, text_col))
 
 
@@ -137,17 +137,17 @@ def _prefixed(marked: DataFrame, left: DataFrame, row: str, text_col: str) -> Da
     and after it enough must be left in both.  An edit brings shingles that no
     other text has, and these come first: edited copies drop out by themselves.
     """
-    own = marked.join(left.select(F.col("row").alias(row), "n", "root"), row).select(F.col(row).alias("row"), "n", "root", F.explode(_shingles(F.col(text_col))).alias("token"))
+    own = marked.join(dealt(left.select(F.col("row").alias(row), "n", "root")), row).select(F.col(row).alias("row"), "n", "root", F.explode(_shingles(F.col(text_col))).alias("token"))
     own = staged(own, "tokens")
     seen = staged(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
-    ranked = own.join(seen, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "token")))
+    ranked = own.join(dealt(seen), "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "token")))
     reach = F.floor(F.col("n") / 5) + 1
     heads = staged(ranked.where(F.col("df").isNotNull() & (F.col("at") <= reach)).select("row", "n", "root", "token", "at"), "prefixes")
     x = heads.select(*[F.col(c).alias(f"{c}_x") for c in ("row", "n", "root", "at")], "token")
     y = heads.where(F.col("at") <= F.floor(F.col("n") / 9) + 1).select(*[F.col(c).alias(f"{c}_y") for c in ("row", "n", "root", "at")], "token")
     larger = F.struct("n_x", "row_x") > F.struct(F.col("n_y").alias("n_x"), F.col("row_y").alias("row_x"))
     enough = (1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))) * 9 >= (F.col("n_x") + F.col("n_y")) * 4
-    met = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & larger & enough & _sizes_allow(F.col("n_x"), F.col("n_y")))
+    met = x.join(dealt(y), "token").where((F.col("root_x") != F.col("root_y")) & larger & enough & _sizes_allow(F.col("n_x"), F.col("n_y")))
     return met.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct()
 
 
@@ -163,9 +163,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
     groups = staged(marked.groupBy(F.col(sketch)["same"].alias("same")).agg(least), "groups")
     numbered = groups.select("name", F.col("name.row").alias("row"))
-    sets = marked.select(F.col(row).alias("row"), *(F.col(sketch)[c].alias(c) for c in ("n", "fp", "bands"))).join(numbered.select("row"), "row", "left_semi")
+    sets = marked.select(F.col(row).alias("row"), *(F.col(sketch)[c].alias(c) for c in ("n", "fp", "bands"))).join(dealt(numbered.select("row")), "row", "left_semi")
     found = staged(_links(marked, staged(sets, "different"), row, text_col), "links")
     # Links by name, so that the least id of a component is its root.
-    by_name = found.join(numbered.toDF("x", "a"), "a").join(numbered.toDF("y", "b"), "b")
+    by_name = found.join(dealt(numbered.toDF("x", "a")), "a").join(dealt(numbered.toDF("y", "b")), "b")
     stay = firsts(numbered, components(by_name.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-    return marked.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)
+    return marked.join(dealt(stay.withColumnRenamed("row", row)), row, "left_semi").select(*docs.columns)

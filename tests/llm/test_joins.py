@@ -30,3 +30,10 @@ def test_simhash_sends_no_side_out(make_docs, plans):
         assert any("SortMergeJoin" in p for p in seen) and not any("Broadcast" in p for p in seen)
     fps = copies(make_docs).select(simhash.fingerprints("text").alias("fp")).distinct()
     assert not any("Broadcast" in p for p in plans(simhash.links(fps)))
+
+
+def test_near_copies_send_no_side_out(make_docs, plans):
+    """Bits of row numbers, whose number is bounded, may be sent out."""
+    seen = plans(nearcopies.keep_one(copies(make_docs)))
+    sent = [line for p in seen for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert any("SortMergeJoin" in p for p in seen) and all("_word#" in line for line in sent)
