@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from sparkloom.llm.common import dealt, free_name, staged
+from sparkloom.llm.common import dealt, free_name, picked, staged
 from sparkloom.llm.simhash import components, firsts, head_links
 
 SHINGLE_WORDS = 5
@@ -92,8 +92,8 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 
 def _verified(pairs: DataFrame, marked: DataFrame, row: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of row numbers whose sets are similar."""
-    ends = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
-    sets = staged(marked.join(dealt(ends), row, "left_semi").select(row, _shingles(F.col(text_col)).alias("set")), "sets")
+    ends = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row)))
+    sets = staged(picked(marked.select(row, text_col), row, ends).select(row, _shingles(F.col(text_col)).alias("set")), "sets")
     both = pairs.join(dealt(sets.toDF("a", "x")), "a").join(dealt(sets.toDF("b", "y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * LEAST_PERCENT).select("a", "b")
@@ -137,7 +137,8 @@ def _prefixed(marked: DataFrame, left: DataFrame, row: str, text_col: str) -> Da
     and after it enough must be left in both.  An edit brings shingles that no
     other text has, and these come first: edited copies drop out by themselves.
     """
-    own = marked.join(dealt(left.select(F.col("row").alias(row), "n", "root")), row).select(F.col(row).alias("row"), "n", "root", F.explode(_shingles(F.col(text_col))).alias("token"))
+    left = left.select(F.col("row").alias(row), "n", "root")
+    own = picked(marked.select(row, text_col), row, left.select(row)).join(dealt(left), row).select(F.col(row).alias("row"), "n", "root", F.explode(_shingles(F.col(text_col))).alias("token"))
     own = staged(own, "tokens")
     seen = staged(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "seen")
     ranked = own.join(dealt(seen), "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "token")))
@@ -163,9 +164,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = F.min(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("name")
     groups = staged(marked.groupBy(F.col(sketch)["same"].alias("same")).agg(least), "groups")
     numbered = groups.select("name", F.col("name.row").alias("row"))
-    sets = marked.select(F.col(row).alias("row"), *(F.col(sketch)[c].alias(c) for c in ("n", "fp", "bands"))).join(dealt(numbered.select("row")), "row", "left_semi")
+    sets = marked.select(F.col(row).alias("row"), *(F.col(sketch)[c].alias(c) for c in ("n", "fp", "bands")))
+    sets = picked(sets, "row", numbered.select("row"))
     found = staged(_links(marked, staged(sets, "different"), row, text_col), "links")
     # Links by name, so that the least id of a component is its root.
     by_name = found.join(dealt(numbered.toDF("x", "a")), "a").join(dealt(numbered.toDF("y", "b")), "b")
     stay = firsts(numbered, components(by_name.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-    return marked.join(dealt(stay.withColumnRenamed("row", row)), row, "left_semi").select(*docs.columns)
+    return picked(marked, row, stay.withColumnRenamed("row", row)).select(*docs.columns)

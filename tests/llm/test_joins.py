@@ -1,8 +1,9 @@
 """Near-duplicate joins whose sides grow with the data send neither side out whole."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.llm import nearcopies, simhash
+from sparkloom.llm import common, nearcopies, simhash
 
 
 @pytest.fixture
@@ -37,3 +38,22 @@ def test_near_copies_send_no_side_out(make_docs, plans):
     seen = plans(nearcopies.keep_one(copies(make_docs)))
     sent = [line for p in seen for line in p.splitlines() if "BroadcastHashJoin" in line]
     assert any("SortMergeJoin" in p for p in seen) and all("_word#" in line for line in sent)
+
+
+def test_texts_stay_where_they_are(make_docs, plans):
+    """But for the few that prefixes join, no text is dealt out; neither are sketches."""
+    seen = plans(nearcopies.keep_one(copies(make_docs)))
+    joined = [line for p in seen for line in p.splitlines() if "SortMergeJoin" in line and "_row#" in line]
+    assert len(joined) <= 1
+
+
+@pytest.mark.parametrize("most", [common.MOST_WORDS, 0])
+def test_rows_picked_by_bits(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_WORDS", most)
+    rows = [0, 1, 62, 63, 64, 127, 128, 1 << 33, (1 << 33) + 63, (5 << 33) + 64]
+    df = spark.createDataFrame([(n, f"t{n}", "w") for n in rows], "n long, text string, _word string")
+    chosen = [63, 63, 64, 2, 1 << 33, (5 << 33) + 64]
+    got = common.picked(df, "n", spark.createDataFrame([(n,) for n in chosen], "n long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(n, f"t{n}", "w") for n in rows if n in chosen]
+    assert common.picked(df, "n", df.select("n").limit(0)).count() == 0
+    assert common.picked(df, "n", df.select("n")).count() == len(rows)
