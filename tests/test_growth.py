@@ -1,13 +1,16 @@
 """What a task does must not grow with the tables: how plans deal out their work."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sparkloom.operators import analytics
 from sparkloom.parse import lexer
-from sparkloom.plans import code_queries
+from sparkloom.plans import code_queries, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +46,35 @@ def test_long_texts_keep_their_lines_and_tokens():
     assert source._lines == lines
     kinds = [(t.kind, t.text[:1]) for t in source.tokens]
     assert ("name", "f") in kinds and ("name", "g") in kinds and kinds.count(("template", "`")) == 2
+
+
+@pytest.mark.parametrize("name", ["boundary_degree", "spine_boundary_topk", "pagerank_5", "impact_risk_score", "impact_verdict", "callers_d3", "modularity"])
+def test_joins_over_all_edges_are_dealt_by_the_number_of_lines(spark, monkeypatch, name):
+    asked = []
+
+    def of(session, rows, rows_a_task):
+        asked.append(rows)
+        return 23
+
+    monkeypatch.setattr(views, "tasks_for", of)
+    text = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert asked and set(asked) == {lines}
+    # Nothing that holds edges is dealt to a number of parts that does not grow.
+    wide = re.findall(r"Exchange hashpartitioning\((?:src|dst|l_partkey|l_orderkey|node|next)#.*?, (\d+)\)", text)
+    assert set(wide) <= {"23"}
+
+
+def test_contraction_takes_few_rounds(spark, monkeypatch):
+    """A round halves the groups at least, as far as each finds a centre."""
+    rng = random.Random(1)
+    pairs = {tuple(sorted(rng.sample(range(600), 2))) for _ in range(6000)}
+    both = [(f"n{a}", f"n{b}") for a, b in pairs] + [(f"n{b}", f"n{a}") for a, b in pairs]
+    nodes, links = spark.createDataFrame([(f"n{i}",) for i in range(600)], "id string"), spark.createDataFrame(both, "src string, dst string")
+    kept, names = analytics.staged, []
+    monkeypatch.setattr(analytics, "staged", lambda df, name: names.append(name) or kept(df, name))
+    member, weighted = analytics.contracted(nodes, links, 2000)
+    assert names.count("members") - 1 <= 4
+    rows, of = weighted.collect(), {r.id: r.grp for r in member.collect()}
+    found, true = {(r.src, r.dst): r.w for r in rows}, Counter((of[a], of[b]) for a, b in both)
+    assert found == true and sum(a != b for a, b in found) <= 2000
