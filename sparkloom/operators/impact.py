@@ -11,9 +11,9 @@ from sparkloom.sources.shared import staged
 CAPS, BUDGET = (10, 5, 3, 1), 80
 
 
-def callers_of(edges: DataFrame, target: DataFrame, depth: int) -> DataFrame:
+def callers_of(edges: DataFrame, target: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """(node, distance) of trails that end at the target's id."""
-    return k_hop(edges, target, depth).select("node", "distance").distinct()
+    return k_hop(edges, target, depth, tasks=tasks).select("node", "distance").distinct()
 
 
 def with_files(callers: DataFrame, files: DataFrame) -> DataFrame:
@@ -76,9 +76,9 @@ def truncated(callers: DataFrame, cap: int) -> DataFrame:
     return callers.withColumn("rn", rank).where(F.col("rn") <= cap).drop("rn")
 
 
-def analyse(calls: DataFrame, facts: DataFrame, target: DataFrame, depth: int = 3) -> DataFrame:
+def analyse(calls: DataFrame, facts: DataFrame, target: DataFrame, depth: int = 3, tasks: int | None = None) -> DataFrame:
     """One row for the target (id): counts, other communities, risk, verdict."""
-    return assess(staged(with_files(callers_of(calls, target, depth), facts), "callers"), facts, target)
+    return assess(staged(with_files(callers_of(calls, target, depth, tasks), facts), "callers"), facts, target)
 
 
 def assess(callers: DataFrame, facts: DataFrame, target: DataFrame) -> DataFrame:

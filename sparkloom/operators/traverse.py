@@ -12,7 +12,7 @@ from sparkloom.sources.shared import staged
 MAX_DEPTH = 5
 
 
-def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
+def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True, tasks: int | None = None) -> DataFrame:
     """(start, node, distance), distinct, for trails of 1 to ``depth`` edges that
     end (reverse) or begin (forward) at a start id.  No trail repeats an edge.
 
@@ -20,12 +20,14 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = True)
     they are written, and all else runs over them.  An edge can only be repeated
     if it lies on a cycle, so not if nothing leads to it or on from it within
     reach; two rounds of peeling leave those that may, and only these are kept by a
-    hash along a trail, so trails that differ in others are one row.
+    hash along a trail, so trails that differ in others are one row.  All edges are
+    dealt by the end they are met at, to ``tasks`` parts if given.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth is 1 to {MAX_DEPTH}")
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    every = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    every = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+    every = (every if tasks is None else every.repartition(tasks, "node")).distinct()
     if depth == 1:
         return starts.select(F.col("id").alias("start"), F.col("id").alias("node")).join(every, "node").select("start", F.col("next").alias("node"), F.lit(1).alias("distance")).distinct()
     front, seen = starts.select(F.col("id").alias("node")).distinct(), []

@@ -16,7 +16,7 @@ from sparkloom.operators import analytics, graph, impact, incremental, overview,
 from sparkloom.operators.postings import SearchIndex
 from sparkloom.plans import views as v
 from sparkloom.plans.views import SQL, START, read
-from sparkloom.sources.shared import new_place
+from sparkloom.sources.shared import new_place, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -289,7 +289,7 @@ SELECT DISTINCT node, distance FROM walk"""
 
 
 def _hops(depth: int, reverse: bool) -> Query:
-    return lambda spark, d: traverse.k_hop(v.edges(spark, d), v.start(spark), depth, reverse).select("node", "distance")
+    return lambda spark, d: traverse.k_hop(v.edges(spark, d), v.start(spark), depth, reverse, v.lines_dealt(spark, d)).select("node", "distance")
 
 
 for _name, _depth, _reverse in (("callers_d1", 1, True), ("callers_d3", 3, True), ("callees_d1", 1, False), ("callees_d3", 3, False)):
@@ -331,7 +331,7 @@ def _links(spark, d):
 
 
 def _boundary(spark, d):
-    return analytics.boundary_degree(v.parts(spark, d), _links(spark, d))
+    return analytics.boundary_degree(v.parts(spark, d), _links(spark, d), v.lines_dealt(spark, d))
 
 
 @query(f"AND {_BOUNDARY} SELECT id, boundary FROM bound")
@@ -359,7 +359,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(5))
 def pagerank_5(spark, d):
-    ranks = analytics.pagerank(v.parts(spark, d), _links(spark, d), iterations=5)
+    ranks = analytics.pagerank(v.parts(spark, d), _links(spark, d), iterations=5, tasks=v.lines_dealt(spark, d))
     return ranks.select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
@@ -391,11 +391,11 @@ def _propagation_sql(rounds: int) -> str:
 
 @query(_propagation_sql(3))
 def label_propagation_3(spark, d):
-    return analytics.label_propagation(v.parts(spark, d), _links(spark, d), 3)
+    return analytics.label_propagation(v.parts(spark, d), staged(_links(spark, d), "links"), 3, v.lines_dealt(spark, d))
 
 
 def _given_modularity(spark, d):
-    return analytics.modularity(v.parts(spark, d), _links(spark, d))
+    return analytics.modularity(v.parts(spark, d), _links(spark, d), v.lines_dealt(spark, d))
 
 
 @query(f"""AND {_LINKS}, m AS (SELECT a.community AS a, count(*)::double AS d, sum((a.community = b.community)::int) AS inside FROM links JOIN parts a ON a.id = src JOIN parts b ON b.id = dst GROUP BY a.community)
@@ -521,7 +521,7 @@ def _facts(spark, d):
 
 
 def _callers(spark, d):
-    return impact.with_files(impact.callers_of(v.edges(spark, d), v.start(spark), 3), _facts(spark, d))
+    return impact.with_files(impact.callers_of(v.edges(spark, d), v.start(spark), 3, v.lines_dealt(spark, d)), _facts(spark, d))
 
 
 @query(f"AND {_IMPACT} SELECT node, distance, is_core, is_test, community FROM facts")
@@ -535,7 +535,7 @@ def impact_split(spark, d):
 
 
 def _analysed(spark, d):
-    return impact.analyse(v.edges(spark, d), _facts(spark, d), v.start(spark))
+    return impact.analyse(v.edges(spark, d), _facts(spark, d), v.start(spark), tasks=v.lines_dealt(spark, d))
 
 
 @query(f"AND {_IMPACT} SELECT round(prod_direct + 0.3 * prod_indirect + 0.2 * test_direct + 0.05 * test_indirect + 2 * spine_direct + 1.5 * other_communities + CASE WHEN is_core THEN 10 ELSE 0 END + 0.5 * boundary, 4)::double AS risk FROM counts, own, crossed")
